@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunked, column, i64, ids_of, run_hash, U64
+from .common import U64, Words, chunked, column, i64, ids_of, keep, run_hash
 
 WINDOW = 50
 SEED_WORDS = 20
@@ -119,10 +119,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
         .where("first_doc < last_doc")
         .select("anchor", "first_doc", (F.col("s0") == F.col("s1")).alias("alike"))
     )
-    seeds = found.join(shared, "anchor")
+    # shared anchors are a fraction of all; what follows reads them several times
+    seeds = keep(found.join(shared, "anchor"))
     settled = seeds.where("alike and doc_id > first_doc").select("doc_id", "lo", (F.col("hi") + window).alias("hi"))
     mixed = seeds.where("not alike")
-    classes = mixed.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep"))
+    classes = keep(mixed.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep")))
     copies = (
         mixed.join(classes, ["anchor", "stretch"])
         .where("doc_id > rep.doc_id")
@@ -130,6 +131,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     )
     asked = classes.select("rep.*").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     contents = docs.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(window), "content long, doc_id long, lo int")
+    contents = keep(contents)
     first = contents.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     extended = (
         contents.join(first, "content")
