@@ -77,6 +77,12 @@ def _anchors(window: int, seed_words: int):
             at, value, lo, hi = window_anchors(w, window, seed_words)
             doc = np.searchsorted(w.first, lo, side="right") - 1
             stretch = run_hash(w.hash, lo, hi + window, U64(0xB5297A4D3C6EF372 | 1)) ^ (at - lo).astype(U64)
+            # text that repeats itself elects equal anchors with equal stretches side by side: one row for each run
+            new = np.ones(len(lo), dtype=bool)
+            new[1:] = (value[1:] != value[:-1]) | (stretch[1:] != stretch[:-1]) | (doc[1:] != doc[:-1])
+            run_lo = np.flatnonzero(new)
+            hi = hi[np.append(run_lo[1:], len(lo)) - 1] if len(lo) else hi
+            lo, value, stretch, doc = lo[run_lo], value[run_lo], stretch[run_lo], doc[run_lo]
             yield pa.RecordBatch.from_arrays(
                 [i64(value), i64(stretch), ids[doc], (lo - w.first[doc]).astype(np.int32), (hi - w.first[doc]).astype(np.int32)],
                 names=["anchor", "stretch", "doc_id", "lo", "hi"],
