@@ -17,13 +17,15 @@ at least n1 - k//2 parts of a similar pair differ in at most one element; a
 set with fewer parts than that with an empty sub-part needs no empty
 signature, as some agreeing one is not empty.  Others emit theirs.
 
-Candidates.  Nodes that share a signature are checked against the smallest
-node of that signature (a star, not all pairs), then components are formed;
-signatures that still hold several components are taken up again with other
-centres, until either all their nodes are in one component or every pair
-across components has been checked.  So no link between components is lost,
-and a group of m near copies costs m checks, not m*m.  Checks compare whole
-sets.
+Candidates.  All nodes of a signature are checked against one centre, the node
+that shares most signatures with others: a star, not all pairs.  The check
+yields the difference D(x) between the node's set and its centre's.  Links form
+components; two nodes x, y of one star that are in different components still
+may be similar.  As |x - y| = |D(x)| + |D(y)| - 2|D(x) & D(y)|, they then share
+at least c elements of their small difference sets, so they meet in a prefix
+join over these, rarest elements first, and only such pairs are checked.  No
+link between components is lost, a group of m near copies costs about m checks
+instead of m*m, and checks compare whole sets.
 
 Defined results: null and empty texts, and texts of white space, have an empty
 set and no links; fewer words than k give one shingle of all words; rows that
@@ -45,25 +47,27 @@ from .common import U64, Words, _WORD_MUL, chunked, column, i64, ids_of, keep, m
 from .graph import components
 
 SLACK_PARTS = 1
-STAR_ROUNDS = 4
 ROWS_OUT = 1 << 18
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every document, and where each begins."""
-    at, value = words.grams(k)
-    doc = np.searchsorted(words.first, at, side="right") - 1
+    _, value = words.grams(k)
     count = np.diff(words.first)
+    size = np.maximum(count - k + 1, 0)
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        value = np.concatenate([value, run_hash(words.hash, words.first[short], words.first[short + 1], _WORD_MUL)])
-        doc = np.concatenate([doc, short])
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
+        whole = run_hash(words.hash, words.first[short], words.first[short + 1], _WORD_MUL)
+        at = np.cumsum(size)[short]  # these have no run of k words yet
+        value, size[short] = np.insert(value, at, whole), 1
+    bound = np.concatenate([[0], np.cumsum(size)])
+    edges = bound.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        value[a:b].sort()
     new = np.ones(len(value), dtype=bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc = value[new], doc[new]
-    return value, np.searchsorted(doc, np.arange(words.docs + 1))
+    new[1:] = value[1:] != value[:-1]
+    new[bound[:-1][size > 0]] = True
+    return value[new], np.concatenate([[0], np.cumsum(new)])[bound]
 
 
 def set_ids(value: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -161,77 +165,108 @@ def _signed(k: int, threshold: Fraction):
     return run
 
 
-def _alike(k: int, threshold: Fraction):
-    """Rows (a, b, text_a, text_b): those whose sets reach the threshold."""
+def _compared(k: int, threshold: Fraction):
+    """Rows (a, b, text_a, text_b) to (a, b, size_a, size_b, linked, delta):
+    delta holds what only one of the two sets has."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches, "text_b", 1 << 20):
-            (va, fa), (vb, fb) = (shingle_sets(Words(column(part, c), lower=True), k) for c in ("text_a", "text_b"))
-            # elements of both sides, sorted by (pair, value): equal neighbours are common
-            pair = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(f)) for f in (fa, fb)])
-            both = np.concatenate([va, vb])
-            order = np.lexsort((both, pair))
-            both, pair = both[order], pair[order]
-            same = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
-            common = np.bincount(pair[1:][same], minlength=part.num_rows)
-            union = np.diff(fa) + np.diff(fb) - common
-            yes = pa.array((den * common >= num * union) & (union > 0))
-            yield pa.RecordBatch.from_arrays([column(part, "a").filter(yes), column(part, "b").filter(yes)], names=["a", "b"])
+            n = part.num_rows
+            a, b = (column(part, c).to_numpy() for c in "ab")
+            # rows come sorted by neither side: make each centre's set once
+            text_a = column(part, "text_a")
+            one, back = np.unique(a, return_index=True, return_inverse=True)[1:]
+            va, fa = shingle_sets(Words(text_a.take(pa.array(one)), lower=True), k)
+            vb, fb = shingle_sets(Words(column(part, "text_b"), lower=True), k)
+            na, nb = np.diff(fa)[back], np.diff(fb)
+            deltas, size = [], np.zeros(n, np.int64)
+            for i in range(n):
+                j = back[i]
+                both = np.concatenate([va[fa[j] : fa[j + 1]], vb[fb[i] : fb[i + 1]]])
+                both.sort()
+                twice = both[1:] == both[:-1]
+                alone = np.ones(len(both), dtype=bool)
+                alone[1:] &= ~twice
+                alone[:-1] &= ~twice
+                deltas.append(both[alone])
+                size[i] = len(deltas[-1])
+            flat = i64(np.concatenate(deltas)) if n else np.zeros(0, np.int64)
+            union, common = (na + nb + size) // 2, (na + nb - size) // 2
+            yield pa.RecordBatch.from_arrays(
+                [a, b, na, nb, pa.array(den * common >= num * union), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))],
+                names=["a", "b", "size_a", "size_b", "linked", "delta"],
+            )
 
     return run
 
 
+def _second_links(stars: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b) of similar nodes that share a centre but, so far, no component."""
+    num, den = threshold.numerator, threshold.denominator
+    ratio = (1 - threshold) / (1 + threshold)
+    p, q = ratio.numerator, ratio.denominator
+    named = stars.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    open_ = named.groupBy("a").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("a")
+    named = keep(named.join(open_, "a").where(F.size("delta") > 0))
+    # the least number of elements that a partner in another component shares with this node's difference
+    reach = F.floor(F.col("size_b") * (den - num) / F.lit(num) + F.lit(1e-9))
+    d = F.size("delta").cast("long")
+    apart = F.ceil((d + F.greatest(d - reach, F.lit(1)) - reach) / 2)
+    near = F.ceil((d + 1 - F.greatest(F.lit(0), F.ceil((F.col("size_b") - F.col("size_a")) * p / F.lit(q) - 1e-9))) / 2)
+    least = F.greatest(F.lit(1), F.when(F.col("linked"), near).otherwise(apart))
+    rows = named.select("a", "b", "label", (d - least + 1).alias("take"), F.explode("delta").alias("e"))
+    often = named.select("a", F.explode("delta").alias("e")).groupBy("a", "e").agg(F.count("*").alias("n")).where("n > 1")
+    # elements that one node alone has come first, and lead to no partner
+    ranked = (
+        rows.join(often, ["a", "e"])
+        .groupBy("a", "b", "label", "take")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
+        .join(named.select("a", "b", d.alias("d")), ["a", "b"])
+        .withColumn("take", F.col("take") - (F.col("d") - F.size("es")))
+        .where("take > 0")
+        .select("a", "b", "label", F.explode(F.slice("es", F.lit(1), F.col("take").cast("int"))).alias("s"))
+        .select("a", "b", "label", F.col("s.e").alias("e"))
+    )
+    ranked = keep(ranked)
+    other = ranked.select("a", "e", F.col("b").alias("c"), F.col("label").alias("label_c"))
+    met = ranked.join(other, ["a", "e"]).where("label < label_c").select("a", "b", "c").distinct()
+    x = named.select("a", "b", F.col("size_b").alias("n_b"), F.col("delta").alias("d_b"))
+    y = named.select("a", F.col("b").alias("c"), F.col("size_b").alias("n_c"), F.col("delta").alias("d_c"))
+    gap = F.size("d_b") + F.size("d_c") - 2 * F.size(F.array_intersect("d_b", "d_c"))
+    return (
+        met.join(x, ["a", "b"]).join(y, ["a", "c"])
+        .withColumn("gap", gap)
+        .where((F.col("n_b") + F.col("n_c") - F.col("gap")) * den >= (F.col("n_b") + F.col("n_c") + F.col("gap")) * num)
+        .select(F.col("b").alias("a"), F.col("c").alias("b"))
+        .distinct()
+    )
+
+
 def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     nodes = keep(docs.mapInArrow(_nodes(k), "doc_id long, node long, n_shingles long"))
     reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     signed = docs.mapInArrow(_signed(k, threshold), "sig long, node long")
-    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = keep(signed.join(shared.select("sig", F.col("lo").alias("centre")), "sig"))
-    wanted = members.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id"))
+    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    members = keep(signed.join(shared.select("sig", "n"), "sig").distinct())
+    score = members.groupBy("node").agg(F.sum("n").alias("score"))
+    members = members.join(score, "node")
+    centres = members.groupBy("sig").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    pairs = keep(members.join(centres, "sig").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node").join(reps, "node").select("node", F.col("rep").alias("doc_id"))
     firsts = wanted.join(nodes.select("doc_id", "node"), ["doc_id", "node"]).distinct()
     texts = keep(docs.join(firsts, "doc_id").dropDuplicates(["node"]).select("node", "text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_alike(k, threshold), "a long, b long")
-
-    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    edges = keep(verified(pairs))
-    labels = keep(components(edges))
-    edges_all, tried = [edges], 1
-    while True:
-        # what is left: signatures that hold several components
-        lab = F.coalesce("label", "node")
-        held = members.select("sig", "node").join(labels, "node", "left").select("sig", "node", lab.alias("label"))
-        open_ = held.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1 and n > 2")
-        left = keep(held.join(open_.select("sig"), "sig"))
-        if left.isEmpty():
-            break
-        if tried < STAR_ROUNDS:
-            # another centre for each component of a signature, chosen by hash
-            key = F.xxhash64("node", F.lit(tried))
-            centres = left.groupBy("sig", "label").agg(F.min_by("node", key).alias("centre"))
-            best = centres.groupBy("sig").agg(F.min_by(F.struct("centre", "label"), F.xxhash64("label", F.lit(tried))).alias("c"))
-            pairs = left.join(best, "sig").where("label <> c.label").select(F.least("node", "c.centre").alias("a"), F.greatest("node", "c.centre").alias("b"))
-            done = False
-        else:
-            # exact end: every pair across components that shares a signature
-            other = left.select("sig", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            pairs = left.join(other, "sig").where("label < label2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            done = True
-        fresh = keep(verified(pairs.distinct()))
-        edges_all.append(fresh)
-        tried += 1
-        grown = edges_all[0]
-        for e in edges_all[1:]:
-            grown = grown.union(e)
-        labels = keep(components(grown))
-        if done:
-            break
+    text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+    stars = keep(both.mapInArrow(_compared(k, threshold), "a long, b long, size_a long, size_b long, linked boolean, delta array<long>"))
+    edges = stars.where("linked").select("a", "b")
+    labels = components(edges)
+    more = keep(_second_links(stars, labels, threshold))
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     named = nodes.where("n_shingles > 0").select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     named = named.join(reps, "node")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
