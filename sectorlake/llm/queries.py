@@ -16,6 +16,18 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(documents(spark, sf_dir), 3, Fraction(9, 10))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_files
+
+    return token_files(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import dedup_substrings
 
@@ -24,6 +36,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_orc": op8_token_orc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
