@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 U64 = np.uint64
 _BYTE_MUL = U64(0x9E3779B97F4A7C15)
 _WORD_MUL = U64(0xD6E8FEB86659FD93)

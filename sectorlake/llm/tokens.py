@@ -3,7 +3,7 @@
 The tokenizer of the vocabulary file folds white space and splits on it, so a
 text's ids are those of its words one after another.  The distinct words of a
 chunk are encoded once, many in one call with a separator token between them,
-and the ids are then dealt to the words.  ``split_by_words`` checks on a probe
+and the ids are then dealt to the words; a worker remembers the words it met.  ``split_by_words`` checks on a probe
 that a tokenizer behaves like this; one that does not encodes whole texts.
 
 The path of the vocabulary file is a parameter.
@@ -11,6 +11,7 @@ The path of the vocabulary file is a parameter.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, chunked, column, fresh_path, ids_of, keep
+from .common import _BYTE_MUL, _TABLE, U64, Words, chunked, column, fresh_path, ids_of, keep, run_hash
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -38,6 +39,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -62,20 +64,75 @@ def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         whole = {int(i): tok.encode(text[int(i)].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(marked)}
         parts = [np.array(whole[i], np.uint32) if i in whole else flat[first[i] : first[i + 1]] for i in range(len(text))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-    w = Words(text, lower=True)  # the tokenizer folds these letters too
-    _, begin, back = np.unique(w.hash, return_index=True, return_inverse=True)
-    raw = w.buf.tobytes()
-    words = [raw[a:b].decode() for a, b in zip(w.start[begin].tolist(), w.end[begin].tolist(), strict=True)]
-    mark, mark_id = special[0]
+    w = Words(text, lower=True, hashed=False)  # the tokenizer folds these letters too
+    start, end, first = _without_tails(w)
+    value = run_hash(_TABLE[w.buf], start, end, _BYTE_MUL)
+    one, begin, back = np.unique(value, return_index=True, return_inverse=True)
+    known = _known.get(path)
+    if known is None or known.full():
+        known = _known[path] = _Known()
+    at = known.find(one)
+    if (new := np.flatnonzero(at < 0)).size:
+        raw = w.buf.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(start[begin[new]].tolist(), end[begin[new]].tolist(), strict=True)]
+        known.add(one[new], *_encode_words(words, tok, special[0]))
+        at = known.find(one)
+    begin, n = known.begin[at][back], known.size[at][back]
+    total = np.concatenate([[0], np.cumsum(n)])
+    rows = np.repeat(begin - total[:-1], n) + np.arange(total[-1])
+    return known.flat[rows], total[first]
+
+
+def _without_tails(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a full stop or comma after a letter or digit as a word of its
+    own: the tokenizer splits there, and fewer distinct words remain."""
+    inner = np.zeros(256, dtype=bool)
+    inner[[*range(97, 123), *range(48, 58)]] = True
+    last = w.buf[w.end - 1]
+    tail = np.flatnonzero(((last == 46) | (last == 44)) & (w.end - w.start > 1) & inner[w.buf[w.end - 2]])
+    end = w.end.copy()
+    end[tail] -= 1
+    start = np.insert(w.start, tail + 1, end[tail])
+    end = np.insert(end, tail + 1, w.end[tail])
+    return start, end, w.first + np.searchsorted(tail, w.first)
+
+
+def _encode_words(words: list[str], tok, special: tuple[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and how many each has."""
+    mark, mark_id = special
     calls = [mark.join(words[i : i + WORDS_A_CALL]) + mark for i in range(0, len(words), WORDS_A_CALL)]
-    lists = [np.array(e.ids, dtype=np.uint32) for e in tok.encode_batch(calls, add_special_tokens=False)]
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
+    flat = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in tok.encode_batch(calls, add_special_tokens=False)])
     stops = np.flatnonzero(flat == mark_id)
-    begin = np.concatenate([[0], stops + 1])[:-1]
-    n = (stops - begin)[back]
-    total = np.concatenate([[0], np.cumsum(n)])
-    rows = np.repeat(begin[back] - total[:-1], n) + np.arange(total[-1])
-    return flat[rows], total[w.first]
+    return np.delete(flat, stops), np.diff(np.concatenate([[-1], stops])) - 1
+
+
+class _Known:
+    """Ids of the words this worker has met, at most MOST of them: then it starts anew."""
+
+    MOST = 1 << 20
+
+    def __init__(self):
+        self.hash, self.begin, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self.hash):
+            return np.full(len(value), -1)
+        at = np.minimum(np.searchsorted(self.hash, value), len(self.hash) - 1)
+        return np.where(self.hash[at] == value, at, -1)
+
+    def add(self, value: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        begin = np.cumsum(size) - size + len(self.flat)
+        self.flat = np.concatenate([self.flat, flat])
+        value, begin, size = (np.concatenate(x) for x in ((self.hash, value), (self.begin, begin), (self.size, size)))
+        order = np.argsort(value, kind="stable")
+        self.hash, self.begin, self.size = value[order], begin[order], size[order]
+
+    def full(self) -> bool:
+        return len(self.hash) > self.MOST
+
+
+_known: dict[str, _Known] = {}
 
 
 def crc32(ids: np.ndarray) -> int:
