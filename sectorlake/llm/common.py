@@ -121,15 +121,15 @@ class Words:
         return at, run_hash(self.hash, at, at + k, _WORD_MUL)
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` bytes of text each, or of one row."""
+def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``limit`` bytes of text and ``rows`` rows each, or of one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         text = batch.column(batch.schema.get_field_index(column))
         sizes = np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=np.float64))
-        group = (np.cumsum(sizes) // limit).astype(np.int64)
+        group = (np.cumsum(sizes) // limit).astype(np.int64) * n + np.arange(n) // rows
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, n], strict=True):
             if b > a:

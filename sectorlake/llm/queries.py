@@ -10,12 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
 
     return jaccard_groups(documents(spark, sf_dir), 3, Fraction(9, 10))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, train(docs))
+
+
+#: host, path, verdict
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -35,7 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_language_id": op5_language_id,
+    "op6_url_filter": op6_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_orc": op8_token_orc,
     "op10_substring_dedup": op10_substring_dedup,
@@ -59,6 +86,16 @@ undirected AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM reach r JOIN undirected u ON r.b = u.a)
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, r.component_id
 FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
+""",
+    "op6_url_filter": """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT p.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS k
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, coalesce(p.host, '') AS host, coalesce(p.path, '') AS path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
 """,
     "op10_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
