@@ -172,8 +172,8 @@ def _strip(keep_text: bool):
                     body = [body[i] for i in np.flatnonzero(~gone[a:b])]
                 body = b" ".join(body)
                 digests.append(hashlib.sha256(body).hexdigest())
-                if keep_text:
-                    kept_texts.append(body.decode())
+                if keep_text:  # a text that loses nothing stays as it is
+                    kept_texts.append(body.decode() if removed[d] else raw[w.bound[d] : w.bound[d + 1]].decode())
             rest = [column(part, c) for c in part.schema.names if c not in ("text", "spans")]
             names = [c for c in part.schema.names if c not in ("text", "spans")]
             arrays = [*rest, pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
@@ -185,9 +185,10 @@ def _strip(keep_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    body = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the carried columns, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
+    body = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
     spans = repeats(body, window, seed_words).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return body.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_strip(keep_text), schema)
+    kinds = dict(body.dtypes)
+    schema = "doc_id long, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    return body.join(spans, "doc_id", "left").select("doc_id", *carry, "text", "spans").mapInArrow(_strip(keep_text), schema)
