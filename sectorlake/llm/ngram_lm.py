@@ -37,13 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, chunked, column, crc_mod, ids_of, keep, mix64
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
 SHARD_TOKENS = 6_000_000
 HOT = 2000
 MASS = 1000.0  # M
@@ -208,7 +209,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, codes = np.unique(hashes, return_inverse=True)
         learn = np.repeat(~fold, sizes)
         counts = np.bincount(codes[learn], minlength=len(vocabulary))
-        row = [[(task << 32) + serial]] + [[np.ascontiguousarray(x).tobytes()] for x in (ids, fold, np.concatenate([[0], np.cumsum(sizes)]), codes.astype(np.uint32), vocabulary, counts.astype(np.int64))]
+        row = [[(task << 32) + serial]] + [[_pack(x)] for x in (ids, fold, np.concatenate([[0], np.cumsum(sizes)]), codes.astype(np.uint32), vocabulary, counts.astype(np.int64))]
         serial += 1
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(r, pa.binary()) for r in row[1:])], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
@@ -225,8 +226,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of an array; hashes as they are, all else compressed."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return raw if x.dtype == np.uint64 else zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data if kind is np.uint64 else zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def _one(batch: pa.Table, i: int, **kinds) -> list[np.ndarray]:
-    return [np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in kinds.items()]
+    return [_unpack(batch.column(k)[i].as_py(), t) for k, t in kinds.items()]
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -244,7 +255,7 @@ def _ask_counts(shards: int):
                 for s in np.unique(of).tolist():
                     mine = of == s
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([s], pa.int32()), column(batch, "block").slice(i, 1), pa.array([vocabulary[mine].tobytes()], pa.binary()), pa.array([counts[mine].astype(np.uint32).tobytes()], pa.binary())],
+                        [pa.array([s], pa.int32()), column(batch, "block").slice(i, 1), pa.array([_pack(vocabulary[mine])], pa.binary()), pa.array([_pack(counts[mine].astype(np.uint32))], pa.binary())],
                         names=["shard", "block", "words", "counts"],
                     )
 
@@ -258,7 +269,7 @@ def _give_counts(table: pa.Table) -> pa.Table:
     words, at = np.unique(np.concatenate([a for a, _ in asked]), return_inverse=True)
     total = np.bincount(at, np.concatenate([c for _, c in asked])).astype(np.int64)
     ends = np.cumsum([len(a) for a, _ in asked])[:-1]
-    replies = [total[x].tobytes() for x in np.split(at, ends)]
+    replies = [_pack(total[x]) for x in np.split(at, ends)]
     blocks = [*table.column("block").to_pylist(), -1]
     n, shard = table.num_rows, table.column("shard")[0].as_py()
     return pa.table(
@@ -270,25 +281,36 @@ def _gather(parts: pa.Table, vocabulary: np.ndarray, shards: int) -> np.ndarray:
     """A block's totals from its shards' replies."""
     of, out = _shard(vocabulary, shards), np.zeros(len(vocabulary), np.int64)
     for i in range(parts.num_rows):
-        out[of == parts.column("shard")[i].as_py()] = np.frombuffer(parts.column("totals")[i].as_py(), np.int64)
+        out[of == parts.column("shard")[i].as_py()] = _unpack(parts.column("totals")[i].as_py(), np.int64)
     return out
 
 
-def _ask_bigrams(shards: int, tokens: int, known: int):
-    """Cogroup of a block and its totals: base scores, and messages to the trie's shards."""
+def _own_scores(shards: int, tokens: int, known: int):
+    """Cogroup of a block and its totals: what needs unigrams alone."""
 
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         rows = []
         for i in range(block.num_rows):
             ids, fold, first, codes, vocabulary = _one(block, i, doc_ids=np.int64, held=bool, first=np.int64, codes=np.uint32, vocabulary=np.uint64)
             total = _gather(parts, vocabulary, shards)
-            unigram = (total + 1) / (tokens + known + 1)
-            cum = np.concatenate([[0], np.cumsum(np.log10(unigram)[codes])])
+            cum = np.concatenate([[0], np.cumsum(np.log10((total + 1) / (tokens + known + 1))[codes])])
             n_known = np.concatenate([[0], np.cumsum(total[codes] > 0)])
-            own = {"ids": ids, "held": fold, "n": np.diff(first), "k": np.diff(n_known[first]), "base": np.diff(cum[first])}
-            packed = [np.ascontiguousarray(v).tobytes() for v in own.values()]
+            rows.append((block.column("block")[i].as_py(), *(_pack(x) for x in (ids, fold, np.diff(first), np.diff(n_known[first]), np.diff(cum[first])))))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        return pa.table({"block": pa.array(cols[0], pa.int64()), **{f"m{i}": pa.array(c, pa.binary()) for i, c in enumerate(cols[1:])}})
+
+    return run
+
+
+def _ask_bigrams(shards: int, tokens: int):
+    """Cogroup of a block and its totals: messages to the trie's shards."""
+
+    def run(block: pa.Table, parts: pa.Table) -> pa.Table:
+        rows = []
+        for i in range(block.num_rows):
+            ids, fold, first, codes, vocabulary = _one(block, i, doc_ids=np.int64, held=bool, first=np.int64, codes=np.uint32, vocabulary=np.uint64)
+            total = _gather(parts, vocabulary, shards)
             number = block.column("block")[i].as_py()
-            rows.append((-1, number, *packed, None, None))
             before = np.empty(len(codes), np.int64)
             before[1:] = codes[:-1]
             before[first[:-1]] = np.searchsorted(vocabulary, END)
@@ -315,11 +337,10 @@ def _ask_bigrams(shards: int, tokens: int, known: int):
                 words, local = np.unique(np.concatenate([u[p], w[p]]), return_inverse=True)
                 k, n = size[p], len(p)
                 places = np.repeat(begin[p] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-                rows.append((
-                    s, number, vocabulary[words].tobytes(), total[words].tobytes(), local.astype(np.uint32)[:n].tobytes(), local.astype(np.uint32)[n:].tobytes(),
-                    k.astype(np.uint32).tobytes(), doc[places].astype(np.uint32).tobytes(), trained[p].astype(np.uint32).tobytes(),
-                ))
-        cols = list(zip(*rows, strict=True))
+                local = local.astype(np.uint32)
+                parts_ = (vocabulary[words], total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], *(x.astype(np.uint32) for x in (k, doc[places], trained[p])))
+                rows.append((s, number, *map(_pack, parts_)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 9
         return pa.table({"shard": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), **{f"m{i}": pa.array(c, pa.binary()) for i, c in enumerate(cols[2:])}})
 
     return run
@@ -334,6 +355,8 @@ def _score_shard(tokens: int, known: int):
     def run(table: pa.Table) -> pa.Table:
         kinds = {"m0": np.uint64, "m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
         asked = [_one(table, i, **kinds) for i in range(table.num_rows)]
+        for a in asked:
+            a[2] = np.cumsum(a[2], dtype=np.int64)
         words, first = np.unique(np.concatenate([a[0] for a in asked]), return_index=True)
         total = np.concatenate([a[1] for a in asked])[first]
         ranks = [np.searchsorted(words, a[0]) for a in asked]
@@ -356,8 +379,8 @@ def _score_shard(tokens: int, known: int):
                 each = np.bincount(a[5], np.repeat(lp, a[4]))
                 some = np.flatnonzero(np.bincount(a[5]))
                 blocks.append(table.column("block")[i].as_py())
-                docs.append(some.astype(np.uint32).tobytes())
-                scores.append(each[some].tobytes())
+                docs.append(_pack(some.astype(np.uint32)))
+                scores.append(_pack(each[some]))
             del trie
             del view
         return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(docs, pa.binary()), "scores": pa.array(scores, pa.binary())})
@@ -397,8 +420,8 @@ def score(docs: DataFrame) -> DataFrame:
     row = given.where("block = -1").agg(F.sum("tokens"), F.sum("known")).first()
     tokens, known = int(row[0] or 0), int(row[1] or 0)
     replies = given.where("block >= 0").select("block", "shard", "totals")
-    messages = blocks.drop("counts").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_ask_bigrams(shards, tokens, known), _MESSAGE)
-    messages = keep(messages)
-    parts = messages.where("shard >= 0").groupBy("shard").applyInArrow(_score_shard(tokens, known), "block long, docs binary, scores binary")
-    own = messages.where("shard = -1")
+    both = blocks.drop("counts").groupBy("block").cogroup(replies.groupBy("block"))
+    messages = both.applyInArrow(_ask_bigrams(shards, tokens), _MESSAGE)
+    parts = messages.groupBy("shard").applyInArrow(_score_shard(tokens, known), "block long, docs binary, scores binary")
+    own = both.applyInArrow(_own_scores(shards, tokens, known), "block long, " + ", ".join(f"m{i} binary" for i in range(5)))
     return own.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_finish(tokens), _RESULT)

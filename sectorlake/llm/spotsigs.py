@@ -112,8 +112,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = body.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("f"))
     # one row for each bucket
     order = Window.orderBy("bucket")
-    last = firsts.agg(F.max("bucket").alias("last"))
-    before = firsts.crossJoin(F.broadcast(last)).select("f.doc_id", "f.tie", F.coalesce(F.lag("bucket").over(order), F.col("last")).alias("bucket"), F.lag("bucket").over(order).isNull().alias("wraps"))
+    last = F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = firsts.select("f.doc_id", "f.tie", F.coalesce(F.lag("bucket").over(order), last).alias("bucket"))
     border = body.drop("bucket").join(before, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
     rows = body.withColumn("border", F.lit(0)).unionByName(border.select("doc_id", "text", "bucket", "tie", F.lit(1).alias("border")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
