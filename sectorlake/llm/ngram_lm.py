@@ -44,10 +44,11 @@ from pyspark.sql import functions as F
 from .common import U64, Words, chunked, column, crc_mod, ids_of, keep, mix64
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 1_500_000
-SHARD_TOKENS = 6_000_000
+BLOCK_TOKENS = 2_000_000
+SHARD_TOKENS = 2_500_000
 HOT = 2000
 MASS = 1000.0  # M
+QUERIES_AT_ONCE = 1 << 18
 END = U64(0x1234567890ABCDEF)
 
 
@@ -236,6 +237,17 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(data if kind is np.uint64 else zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _short(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of hashes: enough to tell the words of one shard apart."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _one(batch: pa.Table, i: int, **kinds) -> list[np.ndarray]:
     return [_unpack(batch.column(k)[i].as_py(), t) for k, t in kinds.items()]
 
@@ -338,8 +350,7 @@ def _ask_bigrams(shards: int, tokens: int):
                 k, n = size[p], len(p)
                 places = np.repeat(begin[p] - (np.cumsum(k) - k), k) + np.arange(k.sum())
                 local = local.astype(np.uint32)
-                parts_ = (vocabulary[words], total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], *(x.astype(np.uint32) for x in (k, doc[places], trained[p])))
-                rows.append((s, number, *map(_pack, parts_)))
+                rows.append((s, number, _short(vocabulary[words]), *map(_pack, (total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], *(x.astype(np.uint32) for x in (k, doc[places], trained[p]))))))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 9
         return pa.table({"shard": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), **{f"m{i}": pa.array(c, pa.binary()) for i, c in enumerate(cols[2:])}})
 
@@ -353,36 +364,45 @@ def _score_shard(tokens: int, known: int):
     """All messages of a trie shard: count, build, map, answer with scores of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = {"m0": np.uint64, "m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
-        asked = [_one(table, i, **kinds) for i in range(table.num_rows)]
+        kinds = {"m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
+        asked = [[_long(table.column("m0")[i].as_py()), *_one(table, i, **kinds)] for i in range(table.num_rows)]
         for a in asked:
             a[2] = np.cumsum(a[2], dtype=np.int64)
         words, first = np.unique(np.concatenate([a[0] for a in asked]), return_index=True)
         total = np.concatenate([a[1] for a in asked])[first]
-        ranks = [np.searchsorted(words, a[0]) for a in asked]
-        keys = [(r[a[2]] << 32) | r[a[3]] for r, a in zip(ranks, asked, strict=True)]
+        keys = []
+        for a in asked:
+            rank = np.searchsorted(words, a[0])
+            keys.append((rank[a[2]] << 32) | rank[a[3]])
+            a[:4] = [None] * 4
+        ends = np.cumsum([len(k) for k in keys])
         pair, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        at = at.astype(np.uint32)
         count = np.bincount(at, np.concatenate([a[6] for a in asked]))
-        del at
-        pair, count = pair[count > 0], count[count > 0]
-        context, word = pair >> 32, pair & 0xFFFFFFFF
         unigram = (total + 1) / (tokens + known + 1)
-        logp = np.log10((count + MASS * unigram[word]) / (total[context] + MASS))
+        seen = count > 0
+        context, word = pair[seen] >> 32, pair[seen] & 0xFFFFFFFF
+        logp = np.log10((count[seen] + MASS * unigram[word]) / (total[context] + MASS))
         trie = Trie(words, context, word, logp)
+        del context, word, logp, seen, count
         blocks, docs, scores = [], [], []
+        lp = np.empty(len(pair))
         with tempfile.TemporaryDirectory() as folder:
             view = trie.mapped(folder)
-            for i, (key, a) in enumerate(zip(keys, asked, strict=True)):
-                c, w = key >> 32, key & 0xFFFFFFFF
-                found, lp = trie.query(c, w)
-                lp = np.where(found, lp, np.log10(MASS * unigram[w] / (total[c] + MASS)))
-                each = np.bincount(a[5], np.repeat(lp, a[4]))
-                some = np.flatnonzero(np.bincount(a[5]))
-                blocks.append(table.column("block")[i].as_py())
-                docs.append(_pack(some.astype(np.uint32)))
-                scores.append(_pack(each[some]))
+            for a in range(0, len(pair), QUERIES_AT_ONCE):
+                c, w = pair[a : a + QUERIES_AT_ONCE] >> 32, pair[a : a + QUERIES_AT_ONCE] & 0xFFFFFFFF
+                found, value = trie.query(c, w)
+                lp[a : a + QUERIES_AT_ONCE] = np.where(found, value, np.log10(MASS * unigram[w] / (total[c] + MASS)))
             del trie
             del view
+        for i, a in enumerate(asked):
+            mine = lp[at[ends[i] - len(a[4]) : ends[i]]]
+            each = np.bincount(a[5], np.repeat(mine, a[4]))
+            some = np.flatnonzero(np.bincount(a[5]))
+            blocks.append(table.column("block")[i].as_py())
+            docs.append(_pack(some.astype(np.uint32)))
+            scores.append(_pack(each[some]))
         return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(docs, pa.binary()), "scores": pa.array(scores, pa.binary())})
 
     return run
