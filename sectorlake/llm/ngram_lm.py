@@ -30,6 +30,8 @@ scored each; a null doc_id counts as 0; without training texts N and V are 0.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import mmap
 import os
 import tempfile
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, chunked, column, crc_mod, ids_of, keep, mix64
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_800_000
 SHARD_TOKENS = 2_500_000
 HOT = 2000
 MASS = 1000.0  # M
@@ -222,11 +224,37 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens += len(hashes)
         if tokens >= BLOCK_TOKENS:
             yield flush()
+            _give_back()
             tokens = 0
     if held:
         yield flush()
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers stay between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _one_table(f):
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        _give_back()
+        return out
+
+    return run
+
+
+def _two_tables(f):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        _give_back()
+        return out
+
+    return run
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Bytes of an array; hashes as they are, all else compressed."""
     raw = np.ascontiguousarray(x).tobytes()
@@ -300,6 +328,7 @@ def _gather(parts: pa.Table, vocabulary: np.ndarray, shards: int) -> np.ndarray:
 def _own_scores(shards: int, tokens: int, known: int):
     """Cogroup of a block and its totals: what needs unigrams alone."""
 
+    @_two_tables
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         rows = []
         for i in range(block.num_rows):
@@ -317,6 +346,7 @@ def _own_scores(shards: int, tokens: int, known: int):
 def _ask_bigrams(shards: int, tokens: int):
     """Cogroup of a block and its totals: messages to the trie's shards."""
 
+    @_two_tables
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         rows = []
         for i in range(block.num_rows):
@@ -363,6 +393,7 @@ _MESSAGE = "shard int, block long, " + ", ".join(f"m{i} binary" for i in range(7
 def _score_shard(tokens: int, known: int):
     """All messages of a trie shard: count, build, map, answer with scores of documents."""
 
+    @_one_table
     def run(table: pa.Table) -> pa.Table:
         kinds = {"m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
         asked = [[_long(table.column("m0")[i].as_py()), *_one(table, i, **kinds)] for i in range(table.num_rows)]
