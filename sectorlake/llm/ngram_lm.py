@@ -47,10 +47,10 @@ from .common import U64, Words, chunked, column, crc_mod, ids_of, keep, mix64
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 1_800_000
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 1_600_000
 HOT = 2000
 MASS = 1000.0  # M
-QUERIES_AT_ONCE = 1 << 18
+QUERIES_AT_ONCE = 1 << 16
 END = U64(0x1234567890ABCDEF)
 
 
@@ -256,24 +256,22 @@ def _two_tables(f):
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Bytes of an array; hashes as they are, all else compressed."""
-    raw = np.ascontiguousarray(x).tobytes()
-    return raw if x.dtype == np.uint64 else zstandard.ZstdCompressor(level=1).compress(raw)
+    """Compressed bytes of an array; sorted hashes as byte planes of their gaps."""
+    if x.dtype == np.uint64:
+        x = np.diff(x, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(data if kind is np.uint64 else zstandard.ZstdDecompressor().decompress(data), kind)
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    if kind is np.uint64:
+        return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+    return np.frombuffer(raw, kind)
 
 
-def _short(hashes: np.ndarray) -> bytes:
-    """The low 48 bits of hashes: enough to tell the words of one shard apart."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The high 48 bits of sorted hashes: enough to tell the words of one shard apart."""
+    return hashes >> U64(16)
 
 
 def _one(batch: pa.Table, i: int, **kinds) -> list[np.ndarray]:
@@ -380,7 +378,7 @@ def _ask_bigrams(shards: int, tokens: int):
                 k, n = size[p], len(p)
                 places = np.repeat(begin[p] - (np.cumsum(k) - k), k) + np.arange(k.sum())
                 local = local.astype(np.uint32)
-                rows.append((s, number, _short(vocabulary[words]), *map(_pack, (total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], *(x.astype(np.uint32) for x in (k, doc[places], trained[p]))))))
+                rows.append((s, number, *map(_pack, (_short(vocabulary[words]), total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], *(x.astype(np.uint32) for x in (k, doc[places], trained[p]))))))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 9
         return pa.table({"shard": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), **{f"m{i}": pa.array(c, pa.binary()) for i, c in enumerate(cols[2:])}})
 
@@ -395,8 +393,8 @@ def _score_shard(tokens: int, known: int):
 
     @_one_table
     def run(table: pa.Table) -> pa.Table:
-        kinds = {"m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
-        asked = [[_long(table.column("m0")[i].as_py()), *_one(table, i, **kinds)] for i in range(table.num_rows)]
+        kinds = {"m0": np.uint64, "m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
+        asked = [_one(table, i, **kinds) for i in range(table.num_rows)]
         for a in asked:
             a[2] = np.cumsum(a[2], dtype=np.int64)
         words, first = np.unique(np.concatenate([a[0] for a in asked]), return_index=True)
