@@ -250,7 +250,8 @@ def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9
     reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     signed = docs.mapInArrow(_signed(k, threshold), "sig long, node long")
     # one exchange serves both the count of a signature's nodes and the join with it
-    signed = signed.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
+    # (the filter, which drops nothing, is there for both, as the join would add it to its side alone)
+    signed = signed.where("sig is not null and node is not null").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
     shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     members = keep(signed.join(shared.select("sig", "n"), "sig").distinct())
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
