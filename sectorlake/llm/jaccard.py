@@ -3,19 +3,21 @@
 A document's set holds the hashes of its distinct k-word shingles.  Documents
 with equal sets form one node, so copies never meet as pairs.
 
-Signatures.  Sizes are cut into bands in which the largest size is at most
-1/threshold of the smallest, so similar sets lie in the same band or in
-neighbouring ones; a set signs for the instance of its own band and for the
-next.  In the instance with largest size r, two similar sets differ in at most
-k = 2r(1-t)/(1+t) elements.  The domain (the hash) is partitioned into n1 parts
-of n2 = 2 sub-parts.  With n1 > k/2, some part differs in at most one element,
-hence agrees in at least one of its sub-parts: each (part, sub-part) projection
-is one signature.
-
-Empty projections would be shared by unrelated sets.  With slack parts added,
-at least n1 - k//2 parts of a similar pair differ in at most one element; a
-set with fewer parts than that with an empty sub-part needs no empty
-signature, as some agreeing one is not empty.  Others emit theirs.
+Signatures.  Sizes are cut into bands whose largest size is 8/5 of the
+smallest.  A set signs for the instance of its own band and, if similar sets
+may be that large, for the next.  In an instance, the domain (the hash) is
+partitioned into n parts in a fixed order, and a set's projections on single
+parts are its signatures (subsets of one part: larger ones would be more
+signatures).  A set x differs from any similar set of the instance in at most
+k(x) elements, k from its own size, so at most k(x) of its m parts with
+elements differ, and the rest agree: in any order of signatures common to all
+sets, the first agreeing one is among the first k(x) + 1 of either set.  That
+order is by the number of nodes with the signature.  Those of one node alone
+come first and lead nowhere, so a set goes on with the rarest s - (m - k(x) - 1)
+of the s signatures that it shares, and a set with more than k(x) of its own is
+similar to none: documents that have a passage in common drop out here.  Only a
+set with m <= k(x) (few, and small ones) also sends its empty parts, for others
+of that kind.
 
 Candidates.  All nodes of a signature are checked against one centre, the node
 that shares most signatures with others: a star, not all pairs.  The check
@@ -42,11 +44,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import U64, Words, _WORD_MUL, chunked, column, i64, ids_of, keep, mix64, run_hash
 from .graph import components
 
-SLACK_PARTS = 1
+BAND_RATIO = Fraction(8, 5)
 ROWS_OUT = 1 << 18
 
 
@@ -76,64 +79,68 @@ def set_ids(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Bands:
+    """Bands of set sizes for one threshold; band i ends with size last[i]."""
+
     def __init__(self, threshold: Fraction):
-        self.t = threshold
-        self.last = [0]  # largest size of each band; band 0 holds the empty set
+        self.num, self.den = threshold.numerator, threshold.denominator
+        self.ratio = max(BAND_RATIO, 1 / threshold)
+        self.last = [0]  # band 0 holds the empty set
 
-    def band(self, size: np.ndarray) -> np.ndarray:
-        top = int(size.max(initial=0))
-        while self.last[-1] < top:
+    def grow(self, top: int) -> None:
+        """Bands up to the one after that of size ``top``."""
+        while self.last[-1] < top or len(self.last) < 2 or self.last[-2] < top:
             low = self.last[-1] + 1
-            self.last.append(max(low, int(low / self.t)))
-        return np.searchsorted(np.array(self.last), size)
+            self.last.append(max(low, int(low * self.ratio)))
 
-    def reach(self, band: int) -> int:
-        """Most elements in which two similar sets of sizes up to this band's differ."""
-        while len(self.last) <= band:
-            low = self.last[-1] + 1
-            self.last.append(max(low, int(low / self.t)))
-        return int(2 * self.last[band] * (1 - self.t) / (1 + self.t))
+    def distance(self, a, b):
+        """Most elements in which two similar sets of these sizes differ."""
+        return (self.den - self.num) * (a + b) // (self.den + self.num)
 
 
-def signatures(value: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document index) pairs of all non-empty sets."""
+def signatures(value: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, document index and way of all non-empty sets: way holds the
+    instance and, in its lower half, how many of the signatures may be spared."""
     size = np.diff(first)
-    own = bands.band(size)
-    out_sig, out_doc = [], []
-    for instance in sorted({*own[size > 0], *(own[size > 0] + 1)}):
-        k = bands.reach(instance)
-        if k == 0:
-            continue  # only equal sets are similar, and those are one node
-        docs = np.flatnonzero((size > 0) & ((own == instance) | (own == instance - 1)))
-        n1 = k // 2 + 1 + SLACK_PARTS
+    bands.grow(int(size.max(initial=0)))
+    last = np.array(bands.last)
+    own = np.searchsorted(last, size)
+    largest = size * bands.den // bands.num  # the largest similar set
+    out_sig, out_doc, out_way = [], [], []
+    for instance in sorted({*own[size > 0], *(own[(size > 0) & (largest > last[own])] + 1)}):
+        top = int(last[instance])
+        here = (size > 0) & ((own == instance) | (own == instance - 1) & (largest > last[instance - 1]))
+        most = bands.distance(size, np.minimum(largest, top))
+        docs = np.flatnonzero(here & (most > 0))  # others are similar to equal sets only, and those are one node
+        if not len(docs):
+            continue
+        need, count = most[docs] + 1, size[docs]
+        n = bands.distance(top, top) * 6 // 5 + 3
         salt = U64(int(instance) * 0xA0761D6478BD642F % (1 << 64))
-        n2, count = 2, size[docs]
         rows = np.repeat(first[docs], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         v = value[rows]
-        # the hash's high half picks the sub-part
-        part = ((v >> U64(32)) * U64(n1 * n2) >> U64(32)).astype(np.int64)
-        slot = np.repeat(np.arange(len(docs)), count) * (n1 * n2) + part
+        # the hash's high half picks the part
+        slot = np.repeat(np.arange(len(docs)), count) * n + ((v >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
         # values ascend within a document and so do its slots: each slot is one run
         new = np.ones(len(slot), dtype=bool)
         new[1:] = slot[1:] != slot[:-1]
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(slot))
-        used = slot[begin]
+        of, part = np.divmod(slot[begin], n)
+        runs = np.bincount(of, minlength=len(docs))
+        way = (int(instance) << 32) + np.maximum(runs - need, 0)
         sig = run_hash(v, begin, end, U64(0xE7037ED1A0B428DB))
-        sig = mix64(sig + (used % (n1 * n2)).astype(U64) * U64(0x9E3779B97F4A7C15) + salt)
-        out_sig.append(sig)
-        out_doc.append(docs[used // (n1 * n2)])
-        full = np.zeros(len(docs) * n1 * n2, dtype=bool)
-        full[used] = True
-        full = full.reshape(len(docs), n1, n2)
-        bare = (~full).any(axis=2).sum(axis=1)
-        for d in np.flatnonzero(bare >= n1 - k // 2):
-            lack = np.flatnonzero(~full[d].reshape(-1)).astype(U64)
+        out_sig.append(mix64(sig + part.astype(U64) * U64(0x9E3779B97F4A7C15) + salt))
+        out_doc.append(docs[of])
+        out_way.append(way[of])
+        for d in np.flatnonzero(runs < need):
+            lack = np.setdiff1d(np.arange(n), part[of == d]).astype(U64)
             out_sig.append(mix64(U64(0x589965CC75374CC3) + lack * U64(0x9E3779B97F4A7C15) + salt))
             out_doc.append(np.full(len(lack), docs[d]))
+            out_way.append(np.full(len(lack), way[d]))
     if not out_sig:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_doc)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # 48 bits are enough, as candidates are checked, and shuffle as fewer bytes
+    return np.concatenate(out_sig) >> U64(16), np.concatenate(out_doc), np.concatenate(out_way)
 
 
 def _nodes(k: int):
@@ -156,11 +163,12 @@ def _signed(k: int, threshold: Fraction):
             _, one = np.unique(node, return_index=True)  # copies in a chunk sign once
             keep_doc = np.zeros(len(node), dtype=bool)
             keep_doc[one] = True
-            sig, doc = signatures(value, first, bands)
+            sig, doc, way = signatures(value, first, bands)
             ok = keep_doc[doc]
-            sig, doc = sig[ok], doc[ok]
+            sig, doc, way = sig[ok], doc[ok], way[ok]
             for a in range(0, len(sig), ROWS_OUT):
-                yield pa.RecordBatch.from_arrays([i64(sig[a : a + ROWS_OUT]), i64(node[doc[a : a + ROWS_OUT]])], names=["sig", "node"])
+                b = a + ROWS_OUT
+                yield pa.RecordBatch.from_arrays([i64(sig[a:b]), i64(node[doc[a:b]]), way[a:b]], names=["sig", "node", "way"])
 
     return run
 
@@ -248,12 +256,18 @@ def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     nodes = keep(docs.mapInArrow(_nodes(k), "doc_id long, node long, n_shingles long"))
     reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    signed = docs.mapInArrow(_signed(k, threshold), "sig long, node long")
+    signed = docs.mapInArrow(_signed(k, threshold), "sig long, node long, way long")
     # one exchange serves both the count of a signature's nodes and the join with it
     # (the filter, which drops nothing, is there for both, as the join would add it to its side alone)
     signed = signed.where("sig is not null and node is not null").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
     shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    members = keep(signed.join(shared.select("sig", "n"), "sig").distinct())
+    met = keep(signed.join(shared.select("sig", "n"), "sig").select("sig", "node", "way", "n").distinct())
+    # a signature that one node alone has leads nowhere: what else is to send, rarest first
+    whole = Window.partitionBy("node", "way")
+    met = met.withColumn("rank", F.row_number().over(whole.orderBy("n", "sig"))).withColumn("of", F.count("*").over(whole))
+    met = keep(met.where(F.col("rank") <= F.col("of") - F.col("way").bitwiseAND(0xFFFFFFFF)).select("sig", "node"))
+    shared = met.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    members = keep(met.join(shared, "sig"))
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
     members = members.join(score, "node")
     centres = members.groupBy("sig").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
