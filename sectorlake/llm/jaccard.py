@@ -25,7 +25,8 @@ yields the difference D(x) between the node's set and its centre's.  Links form
 components; two nodes x, y of one star that are in different components still
 may be similar.  As |x - y| = |D(x)| + |D(y)| - 2|D(x) & D(y)|, they then share
 at least c elements of their small difference sets, so they meet in a prefix
-join over these, rarest elements first, and only such pairs are checked.  No
+join over these, rarest elements first, and only such pairs are checked, of those whose remaining
+elements suffice.  No
 link between components is lost, a group of m near copies costs about m checks
 instead of m*m, and checks compare whole sets.
 
@@ -230,15 +231,18 @@ def _second_links(stars: DataFrame, labels: DataFrame, threshold: Fraction) -> D
         rows.join(often, ["a", "e"])
         .groupBy("a", "b", "label", "take")
         .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("es"))
-        .join(named.select("a", "b", d.alias("d")), ["a", "b"])
+        .join(named.select("a", "b", d.alias("d"), F.col("size_b").alias("n")), ["a", "b"])
         .withColumn("take", F.col("take") - (F.col("d") - F.size("es")))
         .where("take > 0")
-        .select("a", "b", "label", F.explode(F.slice("es", F.lit(1), F.col("take").cast("int"))).alias("s"))
-        .select("a", "b", "label", F.col("s.e").alias("e"))
+        .select("a", "b", "label", "d", "n", F.size("es").alias("held"), F.posexplode(F.slice("es", F.lit(1), F.col("take").cast("int"))).alias("at", "s"))
+        .select("a", "b", "label", "d", "n", (F.col("held") - F.col("at")).alias("rest"), F.col("s.e").alias("e"))
     )
     ranked = keep(ranked)
-    other = ranked.select("a", "e", F.col("b").alias("c"), F.col("label").alias("label_c"))
-    met = ranked.join(other, ["a", "e"]).where("label < label_c").select("a", "b", "c").distinct()
+    other = ranked.select("a", "e", *(F.col(c).alias(f"{c}_c") for c in ("b", "label", "d", "n", "rest")))
+    # at their first common element, two nodes have no more in common than either has from there on
+    enough = (2 * F.least("rest", "rest_c") - F.col("d") - F.col("d_c")) * (den + num) + (F.col("n") + F.col("n_c")) * (den - num) >= 0
+    near = (F.least("n", "n_c") * den >= F.greatest("n", "n_c") * num) & enough
+    met = ranked.join(other, ["a", "e"]).where((F.col("label") < F.col("label_c")) & near).select("a", "b", F.col("b_c").alias("c")).distinct()
     x = named.select("a", "b", F.col("size_b").alias("n_b"), F.col("delta").alias("d_b"))
     y = named.select("a", F.col("b").alias("c"), F.col("size_b").alias("n_c"), F.col("delta").alias("d_c"))
     gap = F.size("d_b") + F.size("d_c") - 2 * F.size(F.array_intersect("d_b", "d_c"))

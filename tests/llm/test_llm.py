@@ -65,6 +65,24 @@ def test_jaccard(spark, k, t):
     assert got == components(rows, k, t)
 
 
+def test_jaccard_far_from_the_centre(spark):
+    """Copies that differ from each other by about the threshold, and texts that only share a passage."""
+    r = random.Random(7)
+    words = [f"v{i}" for i in range(3000)]
+    base, passage = [r.choice(words) for _ in range(140)], [r.choice(words) for _ in range(40)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in r.sample(range(0, 140, 4), r.randrange(0, 9)):
+            w[at] = r.choice(words[:5])
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join([r.choice(words) for _ in range(100)] + passage)) for i in range(40)]
+    rows += [(200 + i, " ".join(words[a : a + 60])) for i, a in enumerate(range(0, 90, 3))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_groups(frame(spark, rows), 5, Fraction(4, 5)).collect()}
+    assert got == components(rows, 5, Fraction(4, 5))
+    assert len({c for _, c in got.values()}) > 41
+
+
 def test_substrings(spark):
     rows = corpus(2)
     first, want = {}, {}
