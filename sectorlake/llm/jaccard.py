@@ -262,9 +262,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9
     reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     signed = docs.mapInArrow(_signed(k, threshold), "sig long, node long, way long")
     # one exchange serves both the count of a signature's nodes and the join with it
-    # (the filter, which drops nothing, is there for both, as the join would add it to its side alone)
+    # (the filters, which drop nothing, are there as both sides must ask for the same rows and columns)
     signed = signed.where("sig is not null and node is not null").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig")
-    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shared = signed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.min("way").alias("way")).where("lo < hi and way >= 0")
     met = keep(signed.join(shared.select("sig", "n"), "sig").select("sig", "node", "way", "n").distinct())
     # a signature that one node alone has leads nowhere: what else is to send, rarest first
     whole = Window.partitionBy("node", "way")
