@@ -256,17 +256,17 @@ def _two_tables(f):
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Compressed bytes of an array; sorted hashes as byte planes of their gaps."""
+    """Compressed byte planes of an array; sorted hashes as their gaps."""
     if x.dtype == np.uint64:
-        x = np.diff(x, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+        x = np.diff(x, prepend=U64(0))
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    if kind is np.uint64:
-        return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
-    return np.frombuffer(raw, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
