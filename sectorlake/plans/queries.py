@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, columns
 from ..functions.layout import CLUSTER, EPOCH, FILE_FLAGS
-from ..operators import extents, journal, records
+from ..operators import extents, journal, records, sinks
 from . import encode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,6 +307,13 @@ def usn_parent_names(spark: SparkSession, d: str) -> DataFrame:
     return journal.with_parent_names(recs, users, journal.history(recs)).select("file", "parent_name")
 
 
+@_query(f"""SELECT event_id + 1000 AS file, 'Filename: event-' || event_id || '.log' || chr(10) || 'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || chr(10) || 'Reason: ' || {_REASON} AS text FROM events""")
+def usn_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text blocks, less their first line, which says where in the journal the record is."""
+    made = sinks.journal_text(journal.named(journal.scan(_stretches(spark, d))))
+    return made.select("file", F.regexp_replace("text", r"^USN ID: [0-9a-f]+ @ [0-9a-f]+\n", "").alias("text"))
+
+
 # ---- codecs and scalar functions --------------------------------------------
 
 def _round_trip(spark: SparkSession, d: str, pack, unpack) -> DataFrame:
@@ -325,6 +332,12 @@ def xpress_plain_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, codecs.xpress_encode, codecs.xpress)
 
 
+@_query("SELECT doc_id, md5(text) AS md5, CAST(NULL AS VARCHAR) AS error FROM documents")
+def xpress_huffman_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    pack = lambda b: len(b).to_bytes(4, "little") + codecs.xpress_huffman_encode(b)
+    return _round_trip(spark, d, pack, lambda b: codecs.xpress_huffman(b[4:], int.from_bytes(b[:4], "little")))
+
+
 @_query("SELECT event_id, ts, user_id FROM events")
 def filetime_decode(spark: SparkSession, d: str) -> DataFrame:
     made = _made(_table(spark, d, "events").select("event_id", _ft("ts").alias("ft"), "user_id"), lambda r: [(r["event_id"], r["ft"].to_bytes(8, "little") + r["user_id"].to_bytes(4, "little"))], "event_id long, b binary")

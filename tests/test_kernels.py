@@ -14,6 +14,7 @@ from sectorlake.plans import encode
 def test_round_trips(data):
     assert codecs.lznt1(codecs.lznt1_encode(data)) == (data, None)
     assert codecs.xpress(codecs.xpress_encode(data)) == (data, None)
+    assert codecs.xpress_huffman(codecs.xpress_huffman_encode(data), len(data)) == (data, None)
 
 
 @settings(max_examples=300, deadline=None)
@@ -27,6 +28,7 @@ def test_nothing_raises(data):
     kernels.runlist(data)
     codecs.lznt1(data)
     codecs.xpress(data)
+    codecs.xpress_huffman(data, 100)
 
 
 def test_lznt1_errors():
@@ -39,6 +41,15 @@ def test_xpress_too_large():
     assert codecs.xpress(raw)[1] == "too large"
 
 
+def test_xpress_huffman_long_runs_and_errors():
+    for n in (18, 272, 273, 274, 70_000):
+        assert codecs.xpress_huffman(codecs.xpress_huffman_encode(b"a" * n), n) == (b"a" * n, None)
+    raw = codecs.xpress_huffman_encode(b"abcabcabcabc")
+    assert codecs.xpress_huffman(raw, 5)[1] == "corrupt stream"
+    assert codecs.xpress_huffman(raw[:257], 12)[1] == "end of stream"
+    assert codecs.xpress_huffman(b"\0" * 300, 12)[1] == "bad code"
+
+
 def test_runlist_sparse_and_backwards():
     assert [r[::2] for r in kernels.runlist(encode.runs_of([(500, 3), (None, 7), (20, 300)]))] == [(500, 3), (500, 7), (20, 300)]
 
