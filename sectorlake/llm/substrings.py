@@ -9,8 +9,8 @@ anchors finds every repeat of ``window`` words or more.
 Extend.  An occurrence of an anchor is stored with the stretch of windows that
 elected it, and a hash of that whole stretch.  Where all occurrences of a
 shared anchor have the same stretch, the match extends over all of it and the
-smallest document id settles every occurrence.  Where they differ, one
-occurrence for each distinct stretch (the one of the smallest document) is
+smallest document id settles every occurrence.  Where they differ, the
+occurrences of each distinct stretch in the smallest document that has it are
 extended exactly: each window of the stretch, i.e. each way to split the words
 left and right of the anchor, is matched by hash.  Consecutive matched windows
 join into maximal repeats.
@@ -129,13 +129,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     seeds = keep(found.join(shared, "anchor"))
     settled = seeds.where("alike and doc_id > first_doc").select("doc_id", "lo", (F.col("hi") + window).alias("hi"))
     mixed = seeds.where("not alike")
-    classes = keep(mixed.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("rep")))
-    copies = (
-        mixed.join(classes, ["anchor", "stretch"])
-        .where("doc_id > rep.doc_id")
-        .select("doc_id", "lo", (F.col("hi") + window).alias("hi"))
-    )
-    asked = classes.select("rep.*").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    classes = mixed.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("rep"))
+    classed = keep(mixed.join(classes, ["anchor", "stretch"]).select("doc_id", "lo", "hi", "rep"))
+    copies = classed.where("doc_id > rep").select("doc_id", "lo", (F.col("hi") + window).alias("hi"))
+    # every occurrence in that document: a passage it holds twice has to go twice
+    asked = classed.where("doc_id = rep").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     contents = docs.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(window), "content long, doc_id long, lo int")
     contents = keep(contents)
     first = contents.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")

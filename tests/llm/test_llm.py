@@ -100,6 +100,30 @@ def test_substrings(spark):
     assert got == want
 
 
+def removed_by_hand(rows):
+    """Words removed from each document (ids are distinct), window by window."""
+    texts = {i: WORD.findall(x or "") for i, x in rows}
+    first, gone = {}, {}
+    for i in sorted(texts):
+        for a in range(len(texts[i]) - 49):
+            first.setdefault(tuple(texts[i][a : a + 50]), i)
+    for i, w in texts.items():
+        gone[i] = len({j for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < i for j in range(a, a + 50)})
+    return gone
+
+
+@pytest.mark.parametrize("size", [50, 60, 80, 120, 300])
+def test_substrings_twice_in_a_document(spark, size):
+    """A document holds a boilerplate twice, and a smaller doc_id only part of it."""
+    r = random.Random(size)
+    some = lambda n: [f"u{r.randrange(10**6)}" for _ in range(n)]
+    part = some(size)
+    boiler = some(60) + part + some(60)
+    rows = [(1, " ".join(some(40) + part + some(40))), (2, " ".join(some(70) + boiler + some(70) + boiler + some(30))), (3, " ".join(some(20) + boiler + some(20) + boiler))]
+    got = {x.doc_id: x.n_removed for x in substrings.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == removed_by_hand(rows) and got[2] == 2 * size
+
+
 def test_tokens_and_packing(spark):
     from tokenizers import Tokenizer
 
