@@ -47,23 +47,19 @@ def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
     Steps are columns of their own, so that no step is evaluated anew for each
     element of the next.
     """
-    words = "|".join(dict.fromkeys(ANCHORS))
-    body, pieces = f"{name}_body", f"{name}_pieces"
+    body, words, others, at = f"{name}_body", f"{name}_words", f"{name}_others", f"{name}_at"
     df = df.withColumn(body, normal(F.col(text)))
-    # every piece after the first begins with an anchor; further words of a piece than CHAIN are not needed
-    cut = F.transform(F.split(body, f" (?=(?:{words}) )"), lambda s: F.substring_index(F.trim(s), " ", 1 + CHAIN))
-    df = df.withColumn(pieces, cut)
-    later = F.transform(F.col(pieces), lambda s: F.when(F.instr(s, " ") > 0, F.substring(s, F.instr(s, " "), F.length(s))).otherwise(F.lit("")))
-    df = df.withColumn(f"{name}_later", later)
-    n = F.size(pieces)
-    from_second = [F.slice(pieces, F.lit(2), F.greatest(n - 1, F.lit(0))), *(F.slice(f"{name}_later", F.lit(k), F.greatest(n - k + 1, F.lit(0))) for k in (3, 4))]
-    df = df.withColumn(f"{name}_next", F.arrays_zip(*(x.alias(f"p{i}") for i, x in enumerate(from_second))))
-    chain = F.transform(F.col(f"{name}_next"), lambda z: F.substring_index(F.concat(z["p0"], F.coalesce(z["p1"], F.lit("")), F.coalesce(z["p2"], F.lit(""))), " ", 1 + CHAIN))
-    df = df.withColumn(f"{name}_chains", chain)
-    kept = F.filter(F.col(f"{name}_chains"), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) == CHAIN)
-    df = df.withColumn(name, F.sort_array(F.array_distinct(F.transform(kept, lambda s: F.xxhash64(s)))))
+    df = df.withColumn(words, F.split(F.trim(F.col(body)), " "))
+    common = lambda w: w.isin(*dict.fromkeys(ANCHORS))
+    df = df.withColumn(others, F.filter(words, lambda w: ~common(w)))
+    df = df.withColumn(at, F.filter(F.transform(words, lambda w, i: F.when(common(w), i)), lambda i: i.isNotNull()))
+    # the j-th anchor, at word i, has i - j words before it that are not anchors, however many anchors follow
+    last = F.size(others) - CHAIN
+    kept = F.filter(F.transform(at, lambda i, j: F.when(i - j <= last, F.struct(F.get(words, i).alias("anchor"), (i - j).alias("next")))), lambda s: s.isNotNull())
+    spots = F.transform(kept, lambda s: F.xxhash64(F.concat_ws(" ", s["anchor"], *(F.get(others, s["next"] + k) for k in range(CHAIN)))))
+    df = df.withColumn(name, F.sort_array(F.array_distinct(spots)))
     df = df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(F.array(F.xxhash64(body))))
-    return df.drop(body, pieces, f"{name}_later", f"{name}_next", f"{name}_chains")
+    return df.drop(body, words, others, at)
 
 
 def fingerprint(hashes: Column) -> Column:

@@ -220,6 +220,25 @@ def test_fingerprints(spark):
     assert got[1000].fingerprint == got[1001].fingerprint
 
 
+def test_spots_across_many_anchors(spark):
+    """The next two words that are not anchors, however many anchors stand between."""
+    r = random.Random(8)
+    plain = ["cat", "house", "runs", "blue"]
+    texts = {1: "the cat of the and in house", 2: "of the and in the cat to be", 3: "the cat", 4: "and the of in is it a cat it is a on house was blue", 5: "cat " + "the " * 40 + "house blue"}
+    texts |= {10 + i: " ".join(r.choice(spotsigs.ANCHORS if r.random() < 0.85 else plain) for _ in range(60)) for i in range(30)}
+    want = {}
+    for i, t in texts.items():
+        w = t.split()
+        chains = {(a, *[x for x in w[k + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]) for k, a in enumerate(w) if a in spotsigs.ANCHORS}
+        want[i] = {" ".join(c) for c in chains if len(c) == 1 + spotsigs.CHAIN} or {f" {t} "}
+    flat = spark.createDataFrame([(i, s) for i, x in want.items() for s in x], "doc_id long, s string").selectExpr("doc_id", "lower(lpad(hex(xxhash64(s)), 16, '0')) AS h", "xxhash64(s) AS x")
+    hashes = {}
+    for x in flat.orderBy("doc_id", "x").collect():
+        hashes.setdefault(x.doc_id, []).append(x.h)
+    got = {x.doc_id: x.fingerprint.split() for x in spotsigs.fingerprints(frame(spark, list(texts.items()))).collect()}
+    assert got == hashes
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert jaccard_groups(none).count() == substrings.dedup_substrings(none).count() == packing.pack(none).count() == 0
