@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the stage before kept and returns
 documents (doc_id, text, lang, source, n_chars); the last returns packed pieces.
-Results of stages are written as Parquet and read again.
+Results of stages are written as Parquet and read again.  A null doc_id counts
+as 0, and a row goes for its own text, not for another row's of the same doc_id.
 """
 
 from __future__ import annotations
@@ -24,17 +25,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language: no letter, or two languages alike."""
     ship(spark)
-    found = language.identify(docs, language.train(docs))
-    rejected = found.where("lang_pred = 'und' or ambiguous").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    model, docs = language.train(docs), _rows(docs)
+    found = language.identify(docs.withColumn("doc_id", F.col("row")), model)
+    rejected = found.where("lang_pred = 'und' or ambiguous").select(F.col("doc_id").alias("row")).distinct()
+    return docs.join(rejected, "row", "left_anti").select(COLUMNS)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with the key ``row`` of each id and text."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), *COLUMNS[1:])
+    return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
     ship(spark)
-    groups = jaccard_groups(docs, 5, Fraction(4, 5))
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    docs = _rows(docs)
+    groups = jaccard_groups(docs.select(F.col("row").alias("doc_id"), "text"), 5, Fraction(4, 5))
+    named = groups.select(F.col("doc_id").alias("row"), "component_id").distinct().join(docs.select("row", "doc_id").distinct(), "row")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    copies = named.join(least, "component_id").where("doc_id > least").select("row").distinct()
+    return docs.join(copies, "row", "left_anti").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +59,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     ship(spark)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    docs = _rows(docs)
+    found = decontaminate.contaminated(docs.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,6 +154,15 @@ def _nodes(k: int):
     return run
 
 
+def _node_texts(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunked(batches):
+            text = column(part, "text")
+            yield pa.RecordBatch.from_arrays([i64(set_ids(*shingle_sets(Words(text, lower=True), k))), text], names=["node", "text"])
+
+    return run
+
+
 def _signed(k: int, threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
@@ -257,7 +266,7 @@ def _second_links(stars: DataFrame, labels: DataFrame, threshold: Fraction) -> D
 
 def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"))
     nodes = keep(docs.mapInArrow(_nodes(k), "doc_id long, node long, n_shingles long"))
     reps = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     signed = docs.mapInArrow(_signed(k, threshold), "sig long, node long, way long")
@@ -277,8 +286,9 @@ def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9
     centres = members.groupBy("sig").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
     pairs = keep(members.join(centres, "sig").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node").join(reps, "node").select("node", F.col("rep").alias("doc_id"))
-    firsts = wanted.join(nodes.select("doc_id", "node"), ["doc_id", "node"]).distinct()
-    texts = keep(docs.join(firsts, "doc_id").dropDuplicates(["node"]).select("node", "text"))
+    # rows that repeat a doc_id may differ in their sets: the text itself says which node it is of
+    near = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    texts = keep(near.mapInArrow(_node_texts(k), "node long, text string").join(wanted.select("node"), "node").dropDuplicates(["node"]))
     text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")

@@ -117,7 +117,7 @@ def _windows(window: int):
 def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """(doc_id, lo, hi): words lo..hi-1 are covered by windows that also start
     in a document with a smaller id.  Intervals of a document may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"))
     found = docs.mapInArrow(_anchors(window, seed_words), "anchor long, stretch long, doc_id long, lo int, hi int")
     shared = (
         found.groupBy("anchor")
@@ -185,7 +185,7 @@ def _strip(keep_text: bool):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the carried columns, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    body = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"), *carry)
     spans = repeats(body, window, seed_words).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     kinds = dict(body.dtypes)
     schema = "doc_id long, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")

@@ -83,6 +83,30 @@ def test_jaccard_far_from_the_centre(spark):
     assert len({c for _, c in got.values()}) > 41
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """A null doc_id counts as 0, and rows that repeat a doc_id keep their own sets."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    some = lambda n: [f"t{r.randrange(10**6)}" for _ in range(n)]
+    alter = lambda w, at: " ".join([*w[:at], "other", *w[at + 1 :]])
+    table = lambda rows: ship(spark).createDataFrame([(i, t, "en", "s", len(t), "x", "y") for i, t in rows], SCHEMA)
+    one, two, three = some(150), some(150), some(150)
+    rows = [(None, " ".join(one)), (0, " ".join(some(80))), (4, alter(one, 30)), (5, alter(one, 90)), (7, " ".join(two)), (7, " ".join(three)), (8, alter(two, 50)), (9, alter(three, 50)), (11, " ".join(some(90)))]
+    docs = table(rows)
+    got = [(x.doc_id, x.component_id) for x in jaccard_groups(docs, 5, Fraction(4, 5)).collect()]
+    assert sorted(got) == [(0, 0), (0, 0), (4, 0), (5, 0), (7, 7), (7, 7), (8, 7), (9, 7), (11, 11)]
+    left = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((x.doc_id, x.text) for x in left) == sorted((i or 0, t) for i, t in rows if i not in (4, 5, 8, 9))
+
+    gone = {x.doc_id: x.n_removed for x in substrings.dedup_substrings(table([(-1, " ".join(one[:80])), (None, " ".join(one)), (3, " ".join(one[20:]))])).collect()}
+    assert gone == {-1: 0, 0: 80, 3: 130}
+
+    spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_contaminated(spark, table(rows[:2]), str(tmp_path)).collect()
+    assert [(x.doc_id, x.text) for x in left] == rows[1:2]
+
+
 def test_substrings(spark):
     rows = corpus(2)
     first, want = {}, {}
