@@ -8,6 +8,8 @@ of text (or by one document, when a single document is longer).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+TRIM_BYTES = 16 << 20
 U64 = np.uint64
 _BYTE_MUL = U64(0x9E3779B97F4A7C15)
 _WORD_MUL = U64(0xD6E8FEB86659FD93)
@@ -121,8 +124,17 @@ class Words:
         return at, run_hash(self.hash, at, at + k, _WORD_MUL)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers stay between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``limit`` bytes of text and ``rows`` rows each, or of one row."""
+    """Slices of at most about ``limit`` bytes of text and ``rows`` rows each, or of one row.
+    Memory that was freed goes back after every TRIM_BYTES of text and at the end."""
+    seen = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -134,6 +146,11 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
         for a, b in zip([0, *cuts], [*cuts, n], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+                seen += sizes[a:b].sum()
+                if seen > TRIM_BYTES:
+                    seen = 0
+                    give_back()
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

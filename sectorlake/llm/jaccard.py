@@ -52,6 +52,7 @@ from .graph import components
 
 BAND_RATIO = Fraction(8, 5)
 ROWS_OUT = 1 << 18
+MEMBERS_A_RUN = 500
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,41 +185,59 @@ def _signed(k: int, threshold: Fraction):
 
 
 def _compared(k: int, threshold: Fraction):
-    """Rows (a, b, text_a, text_b) to (a, b, size_a, size_b, linked, delta):
-    delta holds what only one of the two sets has."""
+    """Rows (a, b, text), where each run of equal a begins with the centre itself
+    (b null), to (a, b, size_a, size_b, linked, delta): delta holds what only one
+    of the two sets has.  The centre's set is kept from one chunk to the next."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches, "text_b", 1 << 20):
-            n = part.num_rows
-            a, b = (column(part, c).to_numpy() for c in "ab")
-            # rows come sorted by neither side: make each centre's set once
-            text_a = column(part, "text_a")
-            one, back = np.unique(a, return_index=True, return_inverse=True)[1:]
-            va, fa = shingle_sets(Words(text_a.take(pa.array(one)), lower=True), k)
-            vb, fb = shingle_sets(Words(column(part, "text_b"), lower=True), k)
-            na, nb = np.diff(fa)[back], np.diff(fb)
-            deltas, size = [], np.zeros(n, np.int64)
-            for i in range(n):
-                j = back[i]
-                both = np.concatenate([va[fa[j] : fa[j + 1]], vb[fb[i] : fb[i + 1]]])
+        centre = np.zeros(0, U64)
+        for part in chunked(batches, limit=1 << 20):
+            a, b = column(part, "a").to_numpy(), column(part, "b")
+            member = b.is_valid().to_numpy(zero_copy_only=False)
+            value, first = shingle_sets(Words(column(part, "text"), lower=True), k)
+            deltas, sizes = [], []
+            for i, is_member in enumerate(member.tolist()):
+                mine = value[first[i] : first[i + 1]]
+                if not is_member:
+                    centre = mine.copy()
+                    continue
+                both = np.concatenate([centre, mine])
                 both.sort()
                 twice = both[1:] == both[:-1]
                 alone = np.ones(len(both), dtype=bool)
                 alone[1:] &= ~twice
                 alone[:-1] &= ~twice
                 deltas.append(both[alone])
-                size[i] = len(deltas[-1])
-            flat = i64(np.concatenate(deltas)) if n else np.zeros(0, np.int64)
+                sizes.append((len(centre), len(mine), len(deltas[-1])))
+            if not deltas:
+                continue
+            na, nb, size = (np.array(x, dtype=np.int64) for x in zip(*sizes, strict=True))
             union, common = (na + nb + size) // 2, (na + nb - size) // 2
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(i64(np.concatenate(deltas))))
             yield pa.RecordBatch.from_arrays(
-                [a, b, na, nb, pa.array(den * common >= num * union), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))],
+                [pa.array(a[member]), b.filter(pa.array(member)), pa.array(na), pa.array(nb), pa.array(den * common >= num * union), flat],
                 names=["a", "b", "size_a", "size_b", "linked", "delta"],
             )
 
     return run
 
 
+def _star_rows(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text) in runs of a, each led by the centre's own text.
+
+    A centre's text travels once for every MEMBERS_A_RUN of its members, which
+    are dealt by a salt, so a star of any size spreads over many tasks.
+    """
+    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_A_RUN).alias("salts"))
+    salted = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    members = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "salt", "text")
+    centres = spread.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "text")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.unionByName(centres).repartition(n, "a", "salt")
+    return dealt.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "text")
+
+
 def _second_links(stars: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b) of similar nodes that share a centre but, so far, no component."""
     num, den = threshold.numerator, threshold.denominator
@@ -289,10 +308,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9
     # rows that repeat a doc_id may differ in their sets: the text itself says which node it is of
     near = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     texts = keep(near.mapInArrow(_node_texts(k), "node long, text string").join(wanted.select("node"), "node").dropDuplicates(["node"]))
-    text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
-    stars = keep(both.mapInArrow(_compared(k, threshold), "a long, b long, size_a long, size_b long, linked boolean, delta array<long>"))
+    stars = keep(_star_rows(pairs, texts).mapInArrow(_compared(k, threshold), "a long, b long, size_a long, size_b long, linked boolean, delta array<long>"))
     edges = stars.where("linked").select("a", "b")
     labels = components(edges)
     more = keep(_second_links(stars, labels, threshold))

@@ -30,8 +30,6 @@ scored each; a null doc_id counts as 0; without training texts N and V are 0.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import mmap
 import os
 import tempfile
@@ -43,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunked, column, crc_mod, ids_of, keep, mix64
+from .common import U64, Words, chunked, column, crc_mod, give_back, ids_of, keep, mix64
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 1_800_000
@@ -224,23 +222,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens += len(hashes)
         if tokens >= BLOCK_TOKENS:
             yield flush()
-            _give_back()
+            give_back()
             tokens = 0
     if held:
         yield flush()
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system: workers stay between tasks."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def _one_table(f):
     def run(table: pa.Table) -> pa.Table:
         out = f(table)
-        _give_back()
+        give_back()
         return out
 
     return run
@@ -249,7 +240,7 @@ def _one_table(f):
 def _two_tables(f):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = f(left, right)
-        _give_back()
+        give_back()
         return out
 
     return run
