@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from .layout import EPOCH
 
 
-def little(data: Column, offset: int, width: int) -> Column:
-    """Unsigned little-endian integer at a fixed offset (8 bytes: two's complement)."""
-    digits = F.concat(*[F.hex(F.substring(data, offset + width - i, 1)) for i in range(width)])
+def little(data: Column, at: int, width: int) -> Column:
+    """Unsigned little-endian integer whose first byte is byte ``at``, counted from 1 (8 bytes: two's complement)."""
+    digits = F.concat(*[F.hex(F.substring(data, at + width - 1 - i, 1)) for i in range(width)])
     return F.conv(digits, 16, -10).cast("bigint")
 
 
 def filetime(ft: Column) -> Column:
     """Timestamp of a count of 100 ns since 1601; null for 0."""
-    micros = F.floor((ft - F.lit(EPOCH)) / F.lit(10).cast("decimal(20,0)")).cast("bigint")
+    micros = F.floor(F.try_subtract(ft, F.lit(EPOCH)) / F.lit(10).cast("decimal(20,0)")).cast("bigint")
     return F.when(ft != 0, F.timestamp_micros(micros).cast("timestamp_ntz"))
 
 
@@ -53,3 +53,18 @@ def parse_inode(text: Column) -> dict[str, Column]:
     ok = text.rlike(shape)
     part = lambda i, default: F.when(ok, F.coalesce(F.nullif(F.regexp_extract(text, shape, i), F.lit("")), F.lit(default)))
     return {"entry": part(1, "0").cast("bigint"), "type": part(2, "128").cast("bigint"), "attr": part(3, "65535").cast("bigint"), "stream": part(4, ":*:")}
+
+
+def capped(value: Column, most: int) -> Column:
+    return F.least(value, F.lit(most).cast("bigint"))
+
+
+def ended_text(data: Column) -> Column:
+    """Latin-1 text up to its first zero byte."""
+    return F.substring_index(F.decode(data, "ISO-8859-1"), "\0", 1)
+
+
+def path_parts(path: Column) -> Column:
+    """Components of a path with / or \\ between them, without a stream's name."""
+    plain = F.regexp_replace(F.substring_index(path, ":", 1), r"\\", "/")
+    return F.filter(F.split(plain, "/"), lambda c: ~c.isin("", "."))

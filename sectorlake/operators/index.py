@@ -1,32 +1,89 @@
-"""Directory index pages as rows, deleted entries in the slack included."""
+"""Directory indexes: entries of roots and pages, deleted ones in the slack included; listings; paths by index."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import arrow, kernels
+from ..functions.columns import filetime, path_parts
+from ..functions.layout import CLUSTER, INDEX_ALLOCATION, INDEX_ROOT, PAGE_SIZE, ROOT
+from . import extents
+from .records import attributes, name_type
+
+_ENTRY = [("dir", pa.int64()), ("page", pa.int64()), *kernels.INDEX_FIELDS]
+
+
+def _entries(df: DataFrame, roots: bool) -> DataFrame:
+    """(dir, page, data) to index entries."""
+    decode = kernels.index_roots if roots else kernels.index_pages
+
+    def kernel(part: pa.RecordBatch) -> dict:
+        row, values = decode(arrow.columns(part, "data")[0])
+        return {"dir": arrow.numbers(part, "dir")[row], "page": arrow.numbers(part, "page")[row], **values}
+
+    return arrow.mapped(df.select("dir", "page", "data"), _ENTRY, kernel, rows=512)
+
+
+def page_entries(pages: DataFrame) -> DataFrame:
+    """(page, data) of a raw index stream, page its offset, to live and slack entries
+    that are valid: their four times lie between 2001 and 2033."""
+    return _entries(pages.select(F.lit(None).cast("long").alias("dir"), "page", "data"), False).where("valid")
+
+
+def nodes(records: DataFrame, disk: DataFrame | None = None, cluster: int = CLUSTER) -> DataFrame:
+    """All index entries of directories: those of the root, page -1, and those of
+    the pages of the allocation, which lie in ``disk`` (lcn, data)."""
+    rows = attributes(records)
+    roots = rows.where((F.col("type") == INDEX_ROOT) & F.col("resident")).select(F.col("entry").alias("dir"), F.lit(-1).cast("long").alias("page"), F.col("content").alias("data"))
+    found = extents.paged(extents.chunks(rows.where(F.col("type") == INDEX_ALLOCATION), disk, cluster), PAGE_SIZE)
+    pages = found.select(F.col("entry").alias("dir"), F.col("offset").alias("page"), "data")
+    return _entries(roots, True).unionByName(_entries(pages, False))
+
+
+def file_info(entries: DataFrame) -> DataFrame:
+    """Entries as file rows.  The three labels of times are those that users of
+    such listings know: mtime is the record's change, ctime the creation, btime
+    the file's modification; the columns fn_* are named for what they are.
+    Entries of pages have to be valid, those of roots need not."""
+    live = entries.where("valid or page = -1")
+    fn = {f"fn_{k}": filetime(F.col(k)) for k in ("created", "modified", "mft_modified", "accessed")}
+    return live.select(
+        "dir", "page", F.col("entry").cast("string").alias("mft_id"), filetime(F.col("mft_modified")).alias("mtime"), filetime(F.col("accessed")).alias("atime"),
+        filetime(F.col("created")).alias("ctime"), filetime(F.col("modified")).alias("btime"), "name", name_type(F.col("type")).alias("name_type"), "size",
+        F.col("allocated").alias("allocated_size"), "is_slack", F.when(F.col("is_slack"), F.greatest(F.col("page"), F.lit(0)) + F.col("offset")).otherwise(0).cast("long").alias("slack_offset"),
+        *[v.alias(k) for k, v in fn.items()],
+    )
 
-from ..functions import kernels
-from ..functions.columns import filetime
 
-FIELDS = "page long, offset int, is_slack boolean, entry long, seq int, parent long, parent_seq int, created long, modified long, mft_modified long, accessed long, size long, flags long, type int, name string"
+def _listed(entries: DataFrame) -> DataFrame:
+    return entries.where("not is_slack")
 
 
-def entries(pages: DataFrame) -> DataFrame:
-    """(page, data) to one row for each valid entry; times also as timestamps."""
+def children(entries: DataFrame) -> DataFrame:
+    """(dir, entry, ord): each entry of a directory once, where it comes first."""
+    first = Window.partitionBy("dir", "entry").orderBy("page", "ord")
+    return _listed(entries).withColumn("k", F.row_number().over(first)).where("k = 1").select("dir", "entry", "page", "ord")
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    schema = to_arrow_schema(_parse_datatype_string(FIELDS))
+def list_dir(entries: DataFrame, stat_rows: DataFrame) -> DataFrame:
+    """Stat rows of the children of every directory: entries whose record is
+    unreadable or has none are left out."""
+    return children(entries).withColumnRenamed("ord", "at").join(stat_rows, "entry").select("dir", "page", "at", *stat_rows.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [{"page": p, **e} for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in kernels.index_entries(x)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = pages.select("page", "data").mapInArrow(run, FIELDS)
-    times = ("created", "modified", "mft_modified", "accessed")
-    return out.withColumns({f"{t}_ft": F.col(t) for t in times}).withColumns({t: filetime(F.col(f"{t}_ft")) for t in times})
+def open_path(asked: DataFrame, entries: DataFrame, root: int = ROOT) -> DataFrame:
+    """(id, entry) for paths (id, path) that exist: a step through the indexes for
+    each component, in any case; / and \\ separate, and a stream's name after a
+    colon is left out.  The number of steps is that of the longest path."""
+    now = asked.select("id", path_parts(F.col("path")).alias("parts"), F.lit(root).cast("long").alias("entry"))
+    first = Window.partitionBy("dir", "key").orderBy("page", "ord")
+    known = _listed(entries).withColumn("key", F.lower("name")).withColumn("k", F.row_number().over(first)).where("k = 1").select("dir", "key", F.col("entry").alias("child"))
+    steps = now.agg(F.coalesce(F.max(F.size("parts")), F.lit(0))).first()[0]
+    for i in range(steps):
+        part = F.get("parts", F.lit(i))
+        met = now.join(known, [F.col("entry") == known["dir"], F.lower(part) == known["key"]], "left").where(part.isNull() | F.col("child").isNotNull())
+        now = met.select("id", "parts", F.when(part.isNull(), F.col("entry")).otherwise(F.col("child")).alias("entry"))
+    return now.select("id", "entry")

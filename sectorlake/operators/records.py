@@ -1,138 +1,288 @@
-"""File records as rows: decode, highlights, alternate streams, listings, audits."""
+"""File records as rows: decode, attribute lists, highlights, stat rows, models, streams, audits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kernels
+from ..functions import arrow, kernels
 from ..functions.columns import filetime, flag_text, inode
-from ..functions.layout import FILE_FLAGS, MAX_LINKS, NAME_TYPES, ROOT
+from ..functions.layout import (
+    ATTRIBUTE_LIST, ATTRIBUTE_TYPES, DATA, FILE_FLAGS, INDEX_ALLOCATION, INDEX_ROOT, LONG_NAMES, NAME_TYPES, SI, WILD_ATTR, WILD_STREAM,
+)
+
+_RECORD = [("entry", pa.int64()), *kernels.RECORD_FIELDS]
+
+
+def decode(raw: DataFrame, bodies: bool = True) -> DataFrame:
+    """(entry, raw) to decoded records, attributes as an array in their order: one
+    pass, no shuffle.  Names, times and sizes need no ``bodies`` (contents, runs)."""
+
+    def kernel(part: pa.RecordBatch) -> dict:
+        entry, body = arrow.columns(part, "entry", "raw")
+        return {"entry": entry, **kernels.records(body, bodies)}
+
+    return arrow.mapped(raw.select(F.col("entry").cast("long"), F.col("raw").cast("binary")), _RECORD, kernel)
+
+
+def _of(kind: int, attributes: Column | str = "attributes") -> Column:
+    return F.filter(attributes, lambda a: a["type"] == kind)
+
+
+def _first_piece(a: Column) -> Column:
+    return a["resident"] | (a["vcn_start"] == 0)
+
+
+def is_long(name: Column) -> Column:
+    return name["type"].isin(*LONG_NAMES)
 
-TIMES = "created long, modified long, mft_modified long, accessed long, flags long"
-NAME = "ord int, parent long, parent_seq int, created long, modified long, mft_modified long, accessed long, size long, flags long, type int, name string"
-STREAM = "ord int, attr int, name string, resident boolean, size long, flags int, vcn_start long, vcn_end long, initialized long, content binary, runs array<struct<lcn long, rel long, len long>>"
 
+def _label(kind: Column, names: dict[int, str]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[x for k, n in names.items() for x in (F.lit(k).cast("long"), F.lit(n))]), kind.cast("long")), F.lit("Unknown"))
 
-def _struct(ddl: str) -> str:
-    return "struct<" + ", ".join(f.strip().replace(" ", ":", 1) for f in _fields(ddl)) + ">"
 
+def name_type(kind: Column) -> Column:
+    return _label(kind, NAME_TYPES)
 
-def _fields(ddl: str) -> list[str]:
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(ddl):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(ddl[last:i])
-            last = i + 1
-    return [*out, ddl[last:]]
 
+def attribute_type(kind: Column) -> Column:
+    return _label(kind, ATTRIBUTE_TYPES)
 
-SCHEMA = (
-    "entry long, number long, seq int, links int, flags int, lsn long, error string, magic_ok boolean, "
-    f"si {_struct(TIMES)}, names array<{_struct(NAME)}>, streams array<{_struct(STREAM)}>, "
-    "attributes array<struct<ord:int, type:int, attr:int, name:string, resident:boolean, size:bigint>>"
-)
 
+def with_parts(records: DataFrame) -> DataFrame:
+    """records with ``si`` (the last), ``names`` and ``data`` (streams), in attribute order."""
+    infos = F.filter("attributes", lambda a: (a["type"] == SI) & a["info"].isNotNull())
+    named = F.filter("attributes", lambda a: a["fn"].isNotNull())
+    names = F.transform(named, lambda a: F.struct(a["ord"].alias("ord"), *(a["fn"][n].alias(n) for n, _ in kernels.NAME_FIELDS)))
+    return records.withColumns({"si": F.try_element_at(infos, F.lit(-1))["info"], "names": names, "data": _of(DATA)})
 
-def decode(raw: DataFrame) -> DataFrame:
-    """(entry, raw) to decoded records: one pass, no shuffle; names and streams as arrays in attribute order."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+# ---- attribute lists -------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [{"entry": e, **kernels.record(x)} for e, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+_MEMBERS = [("entry", pa.int64()), ("list_ord", pa.int32()), ("pos", pa.int32()), ("type", pa.int64()), ("attr", pa.int32()), ("ref", pa.int64()), ("vcn", pa.int64())]
 
-    return raw.select("entry", "raw").mapInArrow(run, SCHEMA)
 
+def list_members(lists: DataFrame) -> DataFrame:
+    """(entry, number, list_ord, content) of attribute lists to their entries that point to other records."""
+
+    def kernel(part: pa.RecordBatch) -> dict:
+        entry, number, list_ord = (arrow.numbers(part, c) for c in ("entry", "number", "list_ord"))
+        found = kernels.list_entries(arrow.columns(part, "content")[0])
+        other = found["ref"] != number[found["row"]]
+        row = found.pop("row")[other]
+        return {"entry": entry[row], "list_ord": list_ord[row], **{k: v[other] for k, v in found.items()}}
+
+    return arrow.mapped(lists.select("entry", "number", "list_ord", "content"), _MEMBERS, kernel)
+
+
+def expand(records: DataFrame, list_contents: DataFrame | None = None) -> DataFrame:
+    """Records with the attributes that their attribute lists name in other
+    records, each list's before the list itself.  From the first entry that
+    cannot be found on, the rest of a list is left out, as is every attribute
+    list of the other record.
+
+    ``list_contents`` (entry, list_ord, content) holds lists that lie outside
+    their record.  ``records`` is read three times, so it had better be kept;
+    only records with lists, and what these name, are shuffled.
+    """
+    lists = F.filter("attributes", lambda a: a["type"] == ATTRIBUTE_LIST)
+    plain, listed = records.where(F.size(lists) == 0), records.where(F.size(lists) > 0)
+    found = listed.select("entry", "number", F.explode(lists).alias("l")).select("entry", "number", F.col("l.ord").alias("list_ord"), F.col("l.content").alias("content"))
+    if list_contents is not None:
+        outside = list_contents.select("entry", "list_ord", F.col("content").alias("outside"))
+        found = found.join(outside, ["entry", "list_ord"], "left").withColumn("content", F.coalesce("content", "outside"))
+    members = list_members(found)
+    wanted = members.select(F.col("ref").alias("at"), F.col("type").alias("want_type"), F.col("attr").alias("want_attr")).distinct()
+    direct = (
+        records.where("error is null").select(F.col("entry").alias("at"), "attributes")
+        .join(wanted, "at")
+        .select("at", "want_type", "want_attr", F.get(F.filter("attributes", lambda a: (a["type"] == F.col("want_type")) & (a["attr"] == F.col("want_attr"))), F.lit(0)).alias("a"))
+    )
+    joined = members.join(direct, (members["ref"] == direct["at"]) & (members["type"] == direct["want_type"]) & (members["attr"] == direct["want_attr"]), "left")
+    until = Window.partitionBy("entry", "list_ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = joined.withColumn("missed", F.max(F.col("a").isNull().cast("int")).over(until)).where("missed = 0")
+    children = reached.groupBy("entry").agg(F.collect_list(F.struct(F.col("list_ord").alias("k1"), F.col("pos").alias("k2"), "a")).alias("children"))
+    own = F.transform("attributes", lambda a: F.struct(a["ord"].alias("k1"), F.lit(1 << 30).alias("k2"), a.alias("a")))
+    by_place = lambda x, y: F.when(x["k1"] != y["k1"], x["k1"] - y["k1"]).otherwise(x["k2"] - y["k2"])
+    every = F.array_sort(F.when(F.col("children").isNull(), own).otherwise(F.concat("children", own)), by_place)
+    numbered = F.transform(every, lambda x, i: x["a"].withField("ord", i))
+    whole = listed.join(children, "entry", "left").withColumn("attributes", numbered).drop("children")
+    return plain.unionByName(whole)
+
+
+# ---- highlights ------------------------------------------------------------
 
 def display_name(names: Column) -> Column:
     """First Win32, DOS+Win32 or POSIX name, else the last other."""
-    long = F.filter(names, lambda n: n["type"] != 2)
-    return F.coalesce(F.get(long, F.lit(0))["name"], F.element_at(names, -1)["name"])
+    return F.coalesce(F.get(F.filter(names, is_long), F.lit(0))["name"], F.try_element_at(names, F.lit(-1))["name"])
 
 
 def highlights(records: DataFrame) -> DataFrame:
-    """One flat row for each record that has times and a name."""
+    """One flat row for each readable record that has times and a name; first names give parents and 0x30 times."""
     si, fn = F.col("si"), F.get("names", F.lit(0))
-    zero = lambda c: c % 10_000_000 == 0
-    kinds = F.create_map(*[F.lit(x) for kv in NAME_TYPES.items() for x in kv])
-    first_size = F.get(F.filter("streams", lambda s: s["size"] != 0), F.lit(0))["size"]
-    return records.where("error is null and si is not null and size(names) > 0").select(
-        F.col("number").alias("entry_number"), F.col("seq").alias("sequence_number"),
-        (F.col("flags").bitwiseAND(1) != 0).alias("in_use"), (F.col("flags").bitwiseAND(2) != 0).alias("is_dir"),
-        fn["parent"].alias("parent_entry_number"), fn["parent_seq"].alias("parent_sequence_number"),
-        display_name(F.col("names")).alias("file_name"),
-        F.array_join(F.transform("names", lambda n: n["name"]), "|").alias("file_names"),
-        F.array_join(F.transform("names", lambda n: kinds[n["type"]]), ",").alias("file_name_types"),
-        F.coalesce(first_size, F.lit(0)).cast("long").alias("file_size"), F.col("links").alias("reference_count"),
-        F.exists("streams", lambda s: s["name"] != "").alias("has_ads"),
-        (si["created"] < fn["created"]).alias("si_lt_fn"), (zero(si["created"]) | zero(si["modified"])).alias("usec_zeros"),
-        (si["created"] > si["modified"]).alias("copied"), flag_text(si["flags"], FILE_FLAGS).alias("si_flags"),
-        *[filetime(s[k]).alias(f"{label}_{n}") for k, label in (("created", "created"), ("modified", "last_modified"), ("mft_modified", "last_record_change"), ("accessed", "last_access")) for n, s in (("0x10", si), ("0x30", fn))],
-        "lsn",
+    bare = lambda c: F.pmod(c, F.lit(10_000_000)) == 0
+    sized = F.get(F.filter("data", lambda s: s["size"] != 0), F.lit(0))["size"]
+    rows = with_parts(records).where("error is null and si is not null and size(names) > 0")
+    return rows.select(
+        "entry", F.col("number").alias("entry_number"), F.col("number").cast("string").alias("inode"), F.col("seq").alias("sequence_number"),
+        (F.col("flags").bitwiseAND(1) != 0).alias("in_use"), fn["parent"].alias("parent_entry_number"), fn["parent_seq"].alias("parent_sequence_number"),
+        F.transform("names", lambda n: n["name"]).alias("file_names"), F.transform("names", lambda n: name_type(n["type"])).alias("file_name_types"),
+        display_name(F.col("names")).alias("file_name"), F.coalesce(sized, F.lit(0)).cast("long").alias("file_size"), F.col("links").cast("long").alias("reference_count"),
+        (F.col("flags").bitwiseAND(2) != 0).alias("is_dir"), F.exists("data", lambda s: s["name"] != "").alias("has_ads"),
+        (si["created"] < fn["created"]).alias("si_lt_fn"), (bare(si["created"]) | bare(si["modified"])).alias("usec_zeros"), (si["created"] > si["modified"]).alias("copied"),
+        flag_text(si["flags"], FILE_FLAGS).alias("si_flags"),
+        *[x for k, label in (("created", "created"), ("modified", "last_modified"), ("mft_modified", "last_record_change"), ("accessed", "last_access")) for n, s in (("0x10", si), ("0x30", fn))
+          for x in (filetime(s[k]).alias(f"{label}_{n}"), s[k].alias(f"{label}_{n}_ft"))],
+        F.when(F.col("lsn") < 0, F.col("lsn").cast("decimal(20,0)") + F.expr("18446744073709551616BD")).otherwise(F.col("lsn").cast("decimal(20,0)")).cast("decimal(20,0)").alias("log_file_seq_num"),
+        F.filter("data", lambda s: (s["name"] != "") & _first_piece(s)).alias("ads"),
+    )
+
+
+def with_streams(rows: DataFrame) -> DataFrame:
+    """Highlights, each followed by one row for every alternate stream: names and
+    inode end in the stream's name, the size is the stream's."""
+    keep = [c for c in rows.columns if c not in ("ads", "file_names", "file_name", "file_size", "is_dir", "inode")]
+    own = F.struct(F.lit(0).alias("ord"), F.lit("").alias("stream"), F.col("file_size").alias("size"), F.col("is_dir").alias("dir"))
+    others = F.transform("ads", lambda s, i: F.struct((i + 1).alias("ord"), s["name"].alias("stream"), s["size"].alias("size"), F.lit(False).alias("dir")))
+    out = rows.select(*keep, "file_names", "file_name", "inode", F.explode(F.concat(F.array(own), others)).alias("s"))
+    tail = F.when(F.col("s.stream") == "", F.lit("")).otherwise(F.concat(F.lit(":"), F.col("s.stream")))
+    return out.select(
+        *keep, F.col("s.ord").alias("stream_ord"), F.transform("file_names", lambda n: F.concat(n, tail)).alias("file_names"), F.concat("file_name", tail).alias("file_name"),
+        F.col("s.size").alias("file_size"), F.col("s.dir").alias("is_dir"), F.concat("inode", tail).alias("inode"),
     )
 
 
+# ---- streams and attributes --------------------------------------------------
+
+def attributes(records: DataFrame) -> DataFrame:
+    """One row for each attribute of readable records."""
+    return records.where("error is null").select("entry", "number", F.inline("attributes")).drop("info", "fn")
+
+
 def streams(records: DataFrame) -> DataFrame:
-    """One row for each stream at its first piece, with its inode."""
-    rows = records.where("error is null").select("entry", "number", F.inline("streams"))
-    w = Window.partitionBy("entry", "attr").orderBy("ord")
-    rows = rows.withColumn("repeat", F.row_number().over(w)).where("resident or vcn_start = 0")
-    return rows.withColumn("inode", inode(F.col("number"), F.lit(128), F.col("attr"), F.col("name"), F.col("repeat")))
+    """One row for each $DATA stream at its first piece, with its inode."""
+    rows = records.where("error is null").select("entry", "number", _of(DATA).alias("data"))
+    firsts = rows.withColumn("data", F.filter("data", _first_piece))
+    labelled = F.transform("data", lambda s, i: F.struct(s.alias("s"), (F.size(F.filter(F.slice("data", F.lit(1), i), lambda o: o["attr"] == s["attr"])) + 1).alias("repeat")))
+    out = firsts.select("entry", "number", F.explode(labelled).alias("x")).select("entry", "number", "x.s.*", "x.repeat")
+    return out.withColumn("inode", inode(F.col("number"), F.col("type"), F.col("attr"), F.col("name"), F.col("repeat"))).drop("info", "fn")
+
+
+def select_stream(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """The attribute that each request (id, entry, type, attr, stream) means: its
+    columns, null for what is not found.
 
+    attr WILD_ATTR stands for any; then stream WILD_STREAM is the unnamed one,
+    else the first, and any other name the first of that name.  With an attr,
+    WILD_STREAM is the first of that attr.  Only first pieces count.
+    """
+    rows = attributes(records).where("resident or vcn_start = 0").withColumnRenamed("entry", "at")
+    r = requests.select(F.col("id").alias("id"), F.col("entry").alias("want_entry"), F.col("type").alias("want_type"), F.col("attr").alias("want_attr"), F.col("stream").alias("want_stream"))
+    any_name = F.col("want_stream") == WILD_STREAM
+    fits = (F.col("at") == F.col("want_entry")) & (F.col("type") == F.col("want_type")) & ((F.col("want_attr") == WILD_ATTR) | (F.col("attr") == F.col("want_attr"))) & (any_name | (F.col("name") == F.col("want_stream")))
+    late = F.when((F.col("want_attr") == WILD_ATTR) & any_name & (F.col("name") != ""), 1).otherwise(0)
+    best = Window.partitionBy("id").orderBy("late", "ord")
+    met = r.join(rows, fits, "left").withColumn("late", late).withColumn("k", F.row_number().over(best)).where("k = 1")
+    return met.select("id", F.col("want_entry").alias("entry"), *[c for c in rows.columns if c not in ("at", "number")])
 
-def edges(records: DataFrame) -> DataFrame:
-    """Names of records with their parents; short names only where there are no others."""
-    names = F.col("names")
-    long = F.filter(names, lambda n: n["type"] != 2)
-    return records.where("error is null").select(
-        F.col("number").alias("entry"), "seq", (F.col("flags").bitwiseAND(2) != 0).alias("is_dir"), F.explode(F.when(F.size(long) > 0, long).otherwise(names)).alias("n")
-    ).select("entry", "seq", "is_dir", "n.ord", "n.name", F.col("n.parent").alias("parent"), F.col("n.parent_seq").alias("parent_seq"))
 
+# ---- stat rows and models ----------------------------------------------------
 
-def paths(links: DataFrame, max_links: int = MAX_LINKS, max_depth: int = 20, separator: str = "/") -> DataFrame:
-    """(entry, ord, path) of every link, at most max_links for each entry.
+def stat(records: DataFrame) -> DataFrame:
+    """Rows of a listing: one for the index of a directory, one for every stream,
+    and before each a copy under any further name that is no short one.
 
-    Directories are resolved level by level from the root, so each level is
-    one join of the directories not yet reached; files join once.  A parent
-    that is missing, or whose sequence differs, gives an error marker.
+    Records without times or a long name have none.  ord numbers the rows of a
+    record.  fn_mtime is the name's own modification time.
     """
-    root = links.sparkSession.createDataFrame([(ROOT, ROOT, "")], "entry long, seq int, path string")
-    dirs = links.where("is_dir and entry <> 5").persist()
-    level, known = root, root
-    for _ in range(max_depth):
-        up = level.select(F.col("entry").alias("parent"), F.col("seq").alias("parent_seq"), F.col("path").alias("above"))
-        level = dirs.join(up, ["parent", "parent_seq"]).select("entry", "seq", F.concat_ws(separator, "above", "name").alias("path")).persist()
-        if level.isEmpty():
-            break
-        known = known.unionByName(level)
-    have = links.groupBy("entry").agg(F.max("seq").alias("have"))
-    up = known.select(F.col("entry").alias("parent"), F.col("seq").alias("parent_seq"), F.col("path").alias("above"))
-    found = links.where("entry <> 5").join(up, ["parent", "parent_seq"], "left").join(have.withColumnRenamed("entry", "parent"), "parent", "left")
-    missing = F.when(F.col("have").isNull(), F.lit("<UnknownEntry>")).when(
-        F.col("have") != F.col("parent_seq"), F.format_string("<Parent %d-%d need %d>", "parent", "parent_seq", "have")
-    ).otherwise(F.lit("<DirTooDeep>"))
-    path = F.when(F.col("above").isNotNull(), F.concat_ws(separator, "above", "name")).otherwise(F.concat_ws(separator, F.lit(""), F.lit("<Err>"), missing, F.col("name")))
-    w = Window.partitionBy("entry").orderBy("ord", "above")
-    return found.withColumn("path", path).withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_links).select("entry", "ord", "is_dir", "path", "parent", "name")
-
-
-def list_dir(links: DataFrame) -> DataFrame:
-    """Children of every directory, each entry once, by its first name."""
-    w = Window.partitionBy("parent", "entry").orderBy("ord")
-    return links.where("entry <> 5").withColumn("k", F.row_number().over(w)).where("k = 1").select("parent", "entry", "name", "is_dir")
-
-
-def audit(records: DataFrame) -> DataFrame:
-    """Faults of records: unreadable, misplaced, or without a name."""
-    fault = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("number") != F.col("entry"), "NumberMismatch").when(F.size("names") == 0, "NoName")
+    rows = with_parts(records).where("error is null")
+    rows = rows.withColumns({
+        "long": F.try_element_at(F.filter("names", is_long), F.lit(-1)), "others": F.transform(F.filter("names", lambda n: ~is_long(n)), lambda n: n["name"]),
+        "last_name": F.try_element_at("names", F.lit(-1)), "index": F.try_element_at(F.filter("attributes", lambda a: a["type"].isin(INDEX_ROOT, INDEX_ALLOCATION)), F.lit(-1)),
+        "data": F.filter("data", _first_piece), "dir": F.col("flags").bitwiseAND(2) != 0,
+    }).where("si is not null and long is not null")
+    made = F.when(F.col("index").isNotNull(), F.array(F.struct(
+        F.concat_ws("-", F.col("number").cast("string"), F.col("index.type").cast("string"), F.col("index.attr").cast("string")).alias("mft_id"), F.lit("").alias("ads"), F.lit(0).cast("long").alias("size")
+    ))).otherwise(F.array().cast("array<struct<mft_id: string, ads: string, size: bigint>>"))
+    repeat = lambda s, i: F.size(F.filter(F.slice("data", F.lit(1), i), lambda o: (o["attr"] == s["attr"]) & (o["type"] == s["type"]))) + 1
+    data = F.transform("data", lambda s, i: F.struct(
+        inode(F.col("number"), s["type"], s["attr"], s["name"], repeat(s, i)).alias("mft_id"),
+        F.when(s["name"].isin("", "$I30"), F.lit("")).otherwise(F.concat(F.lit(":"), s["name"])).alias("ads"), s["size"].alias("size"),
+    ))
+    rows = rows.withColumn("base", F.concat(made, data))
+    copied = F.filter("others", lambda n: ~F.contains(n, F.lit("~")))
+
+    def group(b: Column) -> Column:
+        copies = F.transform(copied, lambda n: F.struct(b["mft_id"].alias("mft_id"), b["size"].alias("size"), F.concat(n, b["ads"]).alias("name"), F.array(F.concat(F.col("long.name"), b["ads"])).alias("extra_names"), F.col("dir").alias("is_dir")))
+        own = F.struct(b["mft_id"].alias("mft_id"), b["size"].alias("size"), F.concat(F.col("long.name"), b["ads"]).alias("name"), F.transform("others", lambda n: F.concat(n, b["ads"])).alias("extra_names"), (F.col("dir") & (b["ads"] == "")).alias("is_dir"))
+        return F.concat(copies, F.array(own))
+
+    out = rows.select("entry", "number", "seq", "si", "long", "last_name", F.posexplode(F.flatten(F.transform("base", group))).alias("ord", "r"))
+    return out.select(
+        "entry", "ord", "r.mft_id", F.col("seq").alias("sequence_number"), filetime(F.col("si.modified")).alias("mtime"), filetime(F.col("si.accessed")).alias("atime"),
+        filetime(F.col("si.mft_modified")).alias("ctime"), filetime(F.col("si.created")).alias("btime"), filetime(F.col("last_name.created")).alias("fn_btime"),
+        filetime(F.col("last_name.modified")).alias("fn_mtime"), "r.name", name_type(F.col("long.type")).alias("name_type"), "r.extra_names", "r.is_dir", "r.size",
+        F.lit(0).cast("long").alias("allocated_size"), F.lit(False).alias("is_slack"), F.lit(0).cast("long").alias("slack_offset"),
+    )
+
+
+def _times(s: Column) -> Column:
+    pairs = (("create_time", "created"), ("file_modified_time", "modified"), ("mft_modified_time", "mft_modified"), ("accessed_time", "accessed"))
+    return F.struct(*(filetime(s[k]).alias(n) for n, k in pairs))
+
+
+def model(records: DataFrame, paths: DataFrame) -> DataFrame:
+    """One nested row for each readable record: times, names, first pieces of all
+    attributes, links.  ``paths`` is what operators.paths gives for them.  The size
+    is that of the first $DATA attribute that has any, a named one too."""
+    rows = with_parts(records).where("error is null")
+    rows = rows.withColumn("shown", F.filter("attributes", _first_piece)).withColumn("first_si", F.get(F.filter("attributes", lambda a: (a["type"] == SI) & a["info"].isNotNull()), F.lit(0))["info"])
+    repeat = lambda a, i: F.size(F.filter(F.slice("shown", F.lit(1), i), lambda o: (o["attr"] == a["attr"]) & (o["type"] == a["type"]))) + 1
+    filenames = F.transform("names", lambda n: F.struct(_times(n).alias("times"), name_type(n["type"]).alias("type"), n["name"].alias("name"), n["parent"].alias("parent_entry_number"), n["parent_seq"].alias("parent_sequence_number")))
+    shown = F.transform("shown", lambda a, i: F.struct(
+        attribute_type(a["type"]).alias("type"), a["type"].alias("type_id"), a["attr"].cast("long").alias("id"),
+        inode(F.col("number"), a["type"], a["attr"], a["name"], repeat(a, i)).alias("inode"), a["size"].alias("size"), a["name"].alias("name"), a["resident"].alias("resident"),
+    ))
+    sized = F.get(F.filter("data", lambda s: s["size"] != 0), F.lit(0))["size"]
+    links = paths.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("k", "components"))).alias("ways"))
+    full = F.get("ways", F.lit(0))["components"]
+    from .paths import joined
+
+    return rows.join(links, "entry", "left").select(
+        "entry", F.when(full.isNull(), F.lit("/")).otherwise(joined(full)).alias("full_path"), F.col("number").alias("mft_id"), F.col("seq").alias("sequence_number"),
+        F.coalesce(sized, F.lit(0)).cast("long").alias("size"), (F.col("flags").bitwiseAND(1) != 0).alias("allocated"), (F.col("flags").bitwiseAND(2) != 0).alias("is_dir"),
+        F.when(F.col("first_si").isNotNull(), _times(F.col("first_si"))).alias("si_times"), filenames.alias("filenames"), shown.alias("attributes"),
+        F.coalesce(F.transform("ways", lambda l: F.array_join(l["components"], "\\")), F.array().cast("array<string>")).alias("hardlinks"),
+    )
+
+
+# ---- audits ------------------------------------------------------------------
+
+def audit(records: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Faults of records of a range of entries: unreadable, misplaced, or without a name."""
+    if first is not None:
+        records = records.where(F.col("entry") >= first)
+    if last is not None:
+        records = records.where(F.col("entry") < last)
+    named = F.exists("attributes", lambda a: a["fn"].isNotNull())
+    fault = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("number") != F.col("entry"), "NumberMismatch").when(~named, "NoName")
     return records.withColumn("fault", fault).where("fault is not null").select("entry", "fault")
+
+
+def hash_window(streams: DataFrame, records: DataFrame, least: int = 1024, most: int = 100 << 20) -> DataFrame:
+    """Attributes worth comparing with another tool: of records in use that extend
+    no other, with a size inside the window."""
+    good = records.where("error is null and base = 0 and (flags & 1) <> 0").select("entry")
+    return streams.where(F.col("size").between(least, most)).join(good, "entry", "left_semi")
+
+
+def compare(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in which two tables differ: a key only one has, or other values; ``side`` says which."""
+    values = [c for c in ours.columns if c not in keys]
+    a = ours.select(*keys, F.struct(*values).alias("ours"), F.lit(True).alias("here"))
+    b = theirs.select(*keys, F.struct(*values).alias("theirs"), F.lit(True).alias("there"))
+    both = a.join(b, keys, "full_outer")
+    side = F.when(F.col("here").isNull(), "theirs").when(F.col("there").isNull(), "ours").when(~F.col("ours").eqNullSafe(F.col("theirs")), "both")
+    return both.withColumn("side", side).where("side is not null").select(*keys, "side", "ours", "theirs")

@@ -6,21 +6,28 @@ engine alone, and has SQL that computes the same from the tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, columns
-from ..functions.layout import CLUSTER, EPOCH, FILE_FLAGS
-from ..operators import extents, journal, records, sinks
+from ..functions import arrow, codecs, columns
+from ..functions.layout import CLUSTER, DATA, EPOCH, FILE_FLAGS
+from ..operators import extents, index, journal, paths, records, sinks, volume
+from ..session import fresh_path, keep, until_exit
+from ..sources.journal import read_journal
+from ..sources.mft import open_volume, read_mft, read_volume
+from ..sources.pages import read_disk, read_index, read_windows, write_pages
+from ..sources.snapshots import read_snapshots
 from . import encode
+from .volume import KINDS, RAW, build, made
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 DAY = 864_000_000_000
+T0 = (EPOCH,) * 4
 
 
 def _query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -37,21 +44,6 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _made(df: DataFrame, make: Callable[[dict], list[tuple]], schema: str = "entry long, raw binary") -> DataFrame:
-    """Rows of df through an encoder that gives rows of the schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for x in b.to_pylist() for r in make(x)]
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def _ft(c: str) -> F.Column:
     return columns.to_filetime(F.col(c))
 
@@ -67,6 +59,8 @@ def _tree(spark: SparkSession, d: str, wrong_parent: bool = False) -> DataFrame:
         .union(t("customer").selectExpr("1000L + c_custkey", "200L + c_nationkey", ("CASE WHEN c_custkey % 7 = 0 THEN 9 ELSE 1 END" if wrong_parent else "1"), "c_name", "true", f"{EPOCH}L", "0L"))
         .union(t("orders").select(F.col("o_orderkey") + 10_000_000, F.col("o_custkey") + 1000, F.lit(1), F.concat(F.lit("order-"), F.col("o_orderkey")), F.lit(False), _ft("o_orderdate"), F.floor("o_totalprice").cast("long")))
     )
+    if wrong_parent:
+        rows = rows.withColumn("parent", F.when((F.col("entry") >= 1000) & (F.col("entry") < 10_000_000) & (F.col("entry") % 7 == 3), F.lit(77)).otherwise(F.col("parent")))
 
     def make(r: dict) -> list[tuple]:
         ft, n = r["ft"], r["entry"] % 3
@@ -75,83 +69,95 @@ def _tree(spark: SparkSession, d: str, wrong_parent: bool = False) -> DataFrame:
         data = [] if r["is_dir"] else [encode.mapped(3, "", [(50, r["size"] // 4096 + 1)], (0, r["size"] // 4096), r["size"])]
         return [(r["entry"], encode.record(r["entry"], 1, si, [encode.name_body(r["parent"], r["parent_seq"], fn, r["size"], r["name"])], data, r["is_dir"]))]
 
-    return _made(rows, make)
+    return made(rows, make, RAW)
+
+
+def _tree_paths(spark: SparkSession, d: str, wrong_parent: bool = False) -> DataFrame:
+    return paths.of_records(records.decode(_tree(spark, d, wrong_parent), bodies=False))
 
 
 _ORDER = "SELECT o_orderkey + 10000000 AS entry, o_custkey, o_orderkey, o_orderdate, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders"
+_JOINED = "JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
 @_query(f"""SELECT entry AS entry_number, 1 AS sequence_number, true AS in_use, 'order-' || o_orderkey AS file_name, size AS file_size, o_custkey + 1000 AS parent_entry_number FROM ({_ORDER})""")
 def mft_scan(spark: SparkSession, d: str) -> DataFrame:
-    return records.highlights(records.decode(_tree(spark, d))).where("not is_dir").select("entry_number", "sequence_number", "in_use", "file_name", "file_size", "parent_entry_number")
+    return records.highlights(records.decode(_tree(spark, d), bodies=False)).where("not is_dir").select("entry_number", "sequence_number", "in_use", "file_name", "file_size", "parent_entry_number")
 
 
-@_query(f"""SELECT entry AS entry_number, entry % 2 = 1 AS si_lt_fn,
- o_orderdate = date_trunc('second', o_orderdate) AS usec_zeros, entry % 3 = 0 AS copied, '32 (ARCHIVE)' AS si_flags,
- o_orderdate AS created_0x10, o_orderdate + to_seconds(entry % 2) AS created_0x30, o_orderdate + to_days(CAST(entry % 3 AS INTEGER) - 1) AS last_modified_0x10,
- 'DOS+Win32' AS file_name_types, false AS has_ads FROM ({_ORDER})""")
+@_query(f"""SELECT entry AS entry_number, CAST(entry AS VARCHAR) AS inode, 1 AS sequence_number, 1 AS parent_sequence_number, CAST(1 AS BIGINT) AS reference_count, false AS is_dir,
+ entry % 2 = 1 AS si_lt_fn, o_orderdate = date_trunc('second', o_orderdate) AS usec_zeros, entry % 3 = 0 AS copied, '32 (ARCHIVE)' AS si_flags,
+ o_orderdate AS created_0x10, o_orderdate + to_seconds(entry % 2) AS created_0x30, o_orderdate + to_days(CAST(entry % 3 AS INTEGER) - 1) AS last_modified_0x10, o_orderdate AS last_modified_0x30,
+ o_orderdate AS last_record_change_0x10, o_orderdate AS last_access_0x30, 'order-' || o_orderkey AS names, 'DOS+Win32' AS file_name_types, false AS has_ads,
+ CAST(entry * 8 + 1 AS BIGINT) AS lsn FROM ({_ORDER})""")
 def mft_highlights(spark: SparkSession, d: str) -> DataFrame:
-    return records.highlights(records.decode(_tree(spark, d))).where("not is_dir").select("entry_number", "si_lt_fn", "usec_zeros", "copied", "si_flags", "created_0x10", "created_0x30", "last_modified_0x10", "file_name_types", "has_ads")
-
-
-@_query(f"SELECT entry AS entry_number, 'order-' || o_orderkey AS file_name FROM ({_ORDER}) WHERE entry BETWEEN 10000100 AND 10000900")
-def mft_range(spark: SparkSession, d: str) -> DataFrame:
-    raw = _tree(spark, d).where("entry BETWEEN 10000100 AND 10000900")
-    return records.highlights(records.decode(raw)).select("entry_number", "file_name")
+    rows = records.highlights(records.decode(_tree(spark, d), bodies=False)).where("not is_dir")
+    return rows.select(
+        "entry_number", "inode", "sequence_number", "parent_sequence_number", "reference_count", "is_dir", "si_lt_fn", "usec_zeros", "copied", "si_flags", "created_0x10", "created_0x30",
+        "last_modified_0x10", "last_modified_0x30", "last_record_change_0x10", "last_access_0x30", F.array_join("file_names", "|").alias("names"),
+        F.array_join("file_name_types", ",").alias("file_name_types"), "has_ads", F.col("log_file_seq_num").cast("long").alias("lsn"),
+    )
 
 
 @_query(f"SELECT entry AS entry_number, 'order-' || o_orderkey AS file_name FROM ({_ORDER}) WHERE regexp_matches('order-' || o_orderkey, '7[0-9]*3$')")
 def filename_regex(spark: SparkSession, d: str) -> DataFrame:
-    return records.highlights(records.decode(_tree(spark, d))).where(~F.col("is_dir") & F.col("file_name").rlike("7[0-9]*3$")).select("entry_number", "file_name")
+    return records.highlights(records.decode(_tree(spark, d), bodies=False)).where(~F.col("is_dir") & F.col("file_name").rlike("7[0-9]*3$")).select("entry_number", "file_name")
 
 
-@_query(f"""SELECT entry, '/' || r_name || '/' || n_name || '/' || c_name || '/order-' || o_orderkey AS path FROM ({_ORDER}) o
- JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+@_query(f"""SELECT entry, '/' || r_name || '/' || n_name || '/' || c_name || '/order-' || o_orderkey AS path FROM ({_ORDER}) o {_JOINED}""")
 def full_paths(spark: SparkSession, d: str) -> DataFrame:
-    links = records.edges(records.decode(_tree(spark, d)))
-    return records.paths(links).where("not is_dir").select("entry", "path")
+    return _tree_paths(spark, d).where("not is_dir").select("entry", paths.joined(F.col("components")).alias("path"))
 
 
-@_query("""SELECT c_custkey + 1000 AS entry, CASE WHEN c_custkey % 7 = 0 THEN '/<Err>/<Parent ' || (200 + c_nationkey) || '-9 need 1>/' || c_name
- ELSE '/' || r_name || '/' || n_name || '/' || c_name END AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+@_query(f"""WITH c AS (SELECT c_custkey, c_nationkey, c_custkey + 1000 AS e, CASE WHEN (c_custkey + 1000) % 7 = 3 THEN '/<Err>/EntryTooShortError'
+ WHEN c_custkey % 7 = 0 THEN '/<Err>/<Parent ' || (200 + c_nationkey) || '-1 need 9>' ELSE '/' || r_name || '/' || n_name END || '/' || c_name AS path
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+ SELECT e AS entry, path FROM c UNION ALL SELECT o_orderkey + 10000000, path || '/order-' || o_orderkey FROM orders JOIN c ON o_custkey = c_custkey""")
 def path_error_markers(spark: SparkSession, d: str) -> DataFrame:
-    links = records.edges(records.decode(_tree(spark, d, wrong_parent=True)))
-    return records.paths(links).where("is_dir and entry >= 1000").select("entry", "path")
+    """Customers under a nation of another sequence, or under no record at all, and the orders below them."""
+    return _tree_paths(spark, d, wrong_parent=True).where("entry >= 1000").select("entry", paths.joined(F.col("components")).alias("path"))
 
 
-@_query("""SELECT 200 + c_nationkey AS parent, c_custkey + 1000 AS entry, c_name AS name FROM customer
- UNION ALL SELECT 100 + n_regionkey, 200 + n_nationkey, n_name FROM nation UNION ALL SELECT 5, 100 + r_regionkey, r_name FROM region""")
-def list_dir(spark: SparkSession, d: str) -> DataFrame:
-    return records.list_dir(records.edges(records.decode(_tree(spark, d)))).where("is_dir").select("parent", "entry", "name")
+@_query(f"""SELECT entry, '/' || upper(r_name || '/' || n_name || '/' || c_name || '/order-' || o_orderkey) AS asked, entry AS found FROM ({_ORDER}) o {_JOINED}""")
+def open_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """Case-insensitive lookup of upper-cased paths among resolved ones."""
+    found = _tree_paths(spark, d).where("not is_dir").select(F.col("entry").alias("found"), F.lower(paths.joined(F.col("components"))).alias("key"))
+    return _asked(spark, d).join(found, F.lower("asked") == F.col("key")).select((F.col("o_orderkey") + 10_000_000).alias("entry"), "asked", "found")
 
 
-@_query(f"""SELECT entry, '/' || upper(r_name || '/' || n_name || '/' || c_name || '/order-' || o_orderkey) AS asked, entry AS found FROM ({_ORDER}) o
- JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def open_by_path(spark: SparkSession, d: str) -> DataFrame:
-    """Case-insensitive lookup of upper-cased paths."""
-    found = records.paths(records.edges(records.decode(_tree(spark, d)))).where("not is_dir")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Upper-cased paths of orders."""
     t = lambda n: _table(spark, d, n)
-    asked = (
+    return (
         t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select((F.col("o_orderkey") + 10_000_000).alias("entry"), F.concat(F.lit("/"), F.upper(F.concat_ws("/", "r_name", "n_name", "c_name", F.concat(F.lit("order-"), F.col("o_orderkey"))))).alias("asked"))
+        .select("o_orderkey", F.concat(F.lit("/"), F.upper(F.concat_ws("/", "r_name", "n_name", "c_name", F.concat(F.lit("order-"), F.col("o_orderkey"))))).alias("asked"))
     )
-    return asked.join(found.select(F.col("entry").alias("found"), F.lower("path").alias("key")), F.lower("asked") == F.col("key")).select("entry", "asked", "found")
 
 
 @_query("""WITH l AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
- k AS (SELECT l_partkey, '\\s' || l_suppkey || '\\part-' || l_partkey AS link, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS n FROM l)
- SELECT l_partkey + 1000000 AS entry, string_agg(link, '|' ORDER BY n) AS links, count(*) AS n_links FROM k WHERE n <= 8 GROUP BY 1""")
+ k AS (SELECT l_partkey, 's' || l_suppkey || '\\part-' || l_partkey AS link, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS n FROM l)
+ SELECT l_partkey + 1000000 AS entry, string_agg(link, '|' ORDER BY n) AS links, count(*) AS n_links FROM k WHERE n <= 20 GROUP BY 1""")
 def hardlinks(spark: SparkSession, d: str) -> DataFrame:
-    """Parts linked under the directories of their suppliers, the first eight that fit a record."""
+    """Parts linked under the directories of all their suppliers; the names of more
+    than four lie in records that the part's attribute list names.  The operator
+    gives the first MAX_LINKS links."""
     pairs = _table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s"))
     dirs = _table(spark, d, "supplier").selectExpr("100000L + s_suppkey AS entry", "concat('s', s_suppkey) AS name")
-    t0 = (EPOCH,) * 4
-    made = _made(pairs, lambda r: [(r["l_partkey"] + 1_000_000, encode.record(r["l_partkey"] + 1_000_000, 1, t0, [encode.name_body(100_000 + s, 1, t0, 0, f"part-{r['l_partkey']}", 0) for s in r["s"][:8]]))])
-    made = made.union(_made(dirs, lambda r: [(r["entry"], encode.record(r["entry"], 1, t0, [encode.name_body(5, 5, t0, 0, r["name"])], directory=True))]))
-    links = records.paths(records.edges(records.decode(made)), separator="\\").where("not is_dir")
-    one = links.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("l"))
-    return one.select("entry", F.array_join(F.transform("l", lambda x: x["path"]), "|").alias("links"), F.size("l").cast("long").alias("n_links"))
+
+    def make(r: dict) -> list[tuple]:
+        entry, names = r["l_partkey"] + 1_000_000, [encode.name_body(100_000 + s, 1, T0, 0, f"part-{r['l_partkey']}", 0) for s in r["s"]]
+        if len(names) <= 4:
+            return [(entry, encode.record(entry, 1, T0, names))]
+        groups = [(10_000_000 + r["l_partkey"] * 64 + i, names[i : i + 5]) for i in range(0, len(names), 5)]
+        named = encode.attribute_list([(48, 1 + j, other, 0) for other, g in groups for j in range(len(g))])
+        return [(entry, encode.record(entry, 1, T0, [], lists=[named], room=4096))] + [(other, encode.record(other, 1, None, g, base=entry | 1 << 48)) for other, g in groups]
+
+    rows = made(pairs, make, RAW).union(made(dirs, lambda r: [(r["entry"], encode.record(r["entry"], 1, T0, [encode.name_body(5, 5, T0, 0, r["name"])], directory=True))], RAW))
+    whole = records.expand(keep(records.decode(rows)))
+    links = paths.of_records(whole).where("not is_dir and entry < 10000000")
+    one = links.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("k", "components"))).alias("l"))
+    return one.select("entry", F.array_join(F.transform("l", lambda x: paths.linked(x["components"])), "|").alias("links"), F.size("l").cast("long").alias("n_links"))
 
 
 # ---- streams ---------------------------------------------------------------
@@ -162,7 +168,7 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     def parts(r: dict) -> tuple[list, list]:
         body, out, runs, at = r["body"] or b"", [], [], 0
-        base = (r["doc_id"] + 1) * 4096
+        base = r["doc_id"] * 4096  # the first document's first cluster is cluster 0
         n = -(-len(body) // CLUSTER)
         while at < n:
             take = min(n - at, 1 + (r["doc_id"] + at) % 3)
@@ -173,88 +179,409 @@ def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         return runs, out
 
     def make(r: dict) -> list[tuple]:
-        t0, body = (EPOCH,) * 4, r["body"] or b""
+        body = r["body"] or b""
         runs, _ = parts(r)
         text = encode.resident(3, "", body) if len(body) <= 400 else encode.mapped(3, "", runs, (0, sum(n for _, n in runs) - 1), len(body))
         side = encode.resident(3, r["source"] or "none", (r["lang"] or "").encode())
-        return [(r["doc_id"], encode.record(r["doc_id"], 1, t0, [encode.name_body(5, 5, t0, len(body), f"doc{r['doc_id']}")], [text, side]))]
+        return [(r["doc_id"], encode.record(r["doc_id"], 1, T0, [encode.name_body(5, 5, T0, len(body), f"doc{r['doc_id']}")], [text, side]))]
+
+    return made(docs, make, RAW), made(docs, lambda r: parts(r)[1] if len(r["body"] or b"") > 400 else [], _DISK)
+
 
-    return _made(docs, make), _made(docs, lambda r: parts(r)[1] if len(r["body"] or b"") > 400 else [], "lcn long, data binary")
+_DISK = [("lcn", pa.int64()), ("data", pa.binary())]
 
 
 @_query("SELECT doc_id AS entry, md5(text) AS md5, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
 def stream_hash(spark: SparkSession, d: str) -> DataFrame:
     raw, disk = _documents(spark, d)
-    s = records.streams(records.decode(raw)).where("name = ''")
-    return extents.contents(s, disk).select("entry", F.md5("data").alias("md5"), "size")
+    rows = records.attributes(records.decode(raw)).where((F.col("type") == DATA) & (F.col("name") == ""))
+    return extents.digests(extents.chunks(rows, disk)).select("entry", "md5", "size")
 
 
 @_query("""SELECT doc_id AS entry, '' AS name, doc_id || '-128-3' AS inode, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents
  UNION ALL SELECT doc_id, source, doc_id || '-128-3:' || source, CAST(octet_length(encode(lang)) AS BIGINT) FROM documents""")
 def ads_rows(spark: SparkSession, d: str) -> DataFrame:
     raw, _ = _documents(spark, d)
-    return records.streams(records.decode(raw)).select("entry", "name", "inode", "size")
+    return records.streams(records.decode(raw, bodies=False)).select("entry", "name", "inode", "size")
+
+
+@_query("""WITH s AS (SELECT doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS n, CAST(octet_length(encode(lang)) AS BIGINT) AS m FROM documents)
+ SELECT doc_id AS entry, 0 AS stream_ord, 'doc' || doc_id AS file_names, CAST(doc_id AS VARCHAR) AS inode, n AS file_size, true AS has_ads FROM s
+ UNION ALL SELECT doc_id, 1, 'doc' || doc_id || ':' || source, doc_id || ':' || source, m, true FROM s""")
+def ads_highlights(spark: SparkSession, d: str) -> DataFrame:
+    """Highlights, each followed by its alternate streams."""
+    raw, _ = _documents(spark, d)
+    rows = records.with_streams(records.highlights(records.decode(raw, bodies=False)))
+    return rows.select(F.col("entry_number").alias("entry"), "stream_ord", F.array_join("file_names", "|").alias("file_names"), "inode", "file_size", "has_ads")
 
 
 @_query("""WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body FROM conversations GROUP BY 1)
- SELECT conv_id AS entry, md5(body) AS md5 FROM t""")
+ SELECT conv_id AS entry, md5(body) AS md5, CAST(octet_length(encode(body)) AS BIGINT) AS size FROM t""")
 def stream_multi_vcn(spark: SparkSession, d: str) -> DataFrame:
-    """A conversation is one stream; every turn's clusters are a piece of their own, listed out of order."""
+    """A conversation is one stream in clusters of 512 bytes; every three clusters are a
+    piece in a record of their own, which the attribute list names, the last first."""
     conv = _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    small, wide = 512, 3
 
     def body(r: dict) -> bytes:
         return "".join(t["text"] or "" for t in r["turns"]).encode()
 
-    def pieces(r: dict) -> list[tuple]:
+    def make(r: dict) -> list[tuple]:
+        data, key = body(r), r["conv_id"]
+        n = max(1, -(-len(data) // small))
+        starts = list(range(0, n, wide))
+        other = {a: 10_000_000 + key * 64 + i for i, a in enumerate(starts)}
+        out = []
+        for a in starts:
+            count = min(wide, n - a)
+            piece = encode.mapped(7, "", [(key * 1024 + 2 * a, count)], (a, a + count - 1), len(data) if a == 0 else 0, cluster=small)
+            out.append((other[a], encode.record(other[a], 1, None, [], [piece], base=key | 1 << 48)))
+        named = encode.attribute_list([(128, 7, other[a], a) for a in reversed(starts)])
+        return [(key, encode.record(key, 1, T0, [encode.name_body(5, 5, T0, 0, f"c{key}")], lists=[named], room=4096)), *out]
+
+    def clusters(r: dict) -> list[tuple]:
         data = body(r)
-        n = max(1, -(-len(data) // CLUSTER))
-        return [(r["conv_id"], "", False, len(data), k, k, [{"lcn": r["conv_id"] * 64 + 2 * k, "rel": r["conv_id"] * 64 + 2 * k + 1, "len": 1}], len(data)) for k in reversed(range(n))]
+        return [(r["conv_id"] * 1024 + 2 * a + k, data[(a + k) * small : (a + k + 1) * small].ljust(small, b"\0")) for a in range(0, max(1, -(-len(data) // small)), wide) for k in range(wide)]
+
+    whole = records.expand(keep(records.decode(made(conv, make, RAW)))).where("entry < 10000000")
+    rows = records.attributes(whole).where(F.col("type") == DATA)
+    return extents.digests(extents.chunks(rows, made(conv, clusters, _DISK), small)).select("entry", "md5", "size")
+
+
+@_query("SELECT doc_id AS entry, md5(text) AS md5 FROM documents WHERE octet_length(encode(text)) > 0")
+def compressed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as compressed streams: units of 16 clusters of 512 bytes, every second one in two places."""
+    docs = _table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body")).where("octet_length(body) > 0")
+    small, unit = 512, 16
+
+    def parts(r: dict) -> tuple[list, list]:
+        runs, disk, at = [], [], r["doc_id"] * 8192 + 7
+        for i in range(0, len(r["body"]), small * unit):
+            block = r["body"][i : i + small * unit]
+            packed = codecs.lznt1_encode(block)
+            n = -(-len(packed) // small)
+            if n >= unit:
+                packed, n = block, unit
+            cut = n // 2 if i // (small * unit) % 2 and n > 1 else n
+            spots = [at + k for k in range(cut)] + [at + 3 + k for k in range(cut, n)]
+            runs += [(at, cut)] + ([(at + 3 + cut, n - cut)] if cut < n else []) + ([(None, unit - n)] if n < unit else [])
+            disk += [(s, packed[k * small : (k + 1) * small].ljust(small, b"\0")) for k, s in enumerate(spots)]
+            at += n + 5
+        return runs, disk
 
-    streams = _made(conv, pieces, "entry long, name string, resident boolean, size long, vcn_start long, vcn_end long, runs array<struct<lcn long, rel long, len long>>, initialized long").withColumn("content", F.lit(None).cast("binary"))
-    disk = _made(conv, lambda r: [(r["conv_id"] * 64 + 2 * k, body(r)[k * CLUSTER : (k + 1) * CLUSTER].ljust(CLUSTER, b"\0")) for k in range(max(1, -(-len(body(r)) // CLUSTER)))], "lcn long, data binary")
-    return extents.contents(streams, disk).select("entry", F.md5("data").alias("md5"))
+    def make(r: dict) -> list[tuple]:
+        runs, _ = parts(r)
+        data = encode.mapped(4, "", runs, (0, sum(n for _, n in runs) - 1), len(r["body"]), flags=1, unit=4, cluster=small)
+        return [(r["doc_id"], encode.record(r["doc_id"], 1, T0, [encode.name_body(5, 5, T0, 0, "x")], [data]))]
+
+    rows = records.attributes(records.decode(made(docs, make, RAW))).where(F.col("type") == DATA)
+    return extents.digests(extents.chunks(rows, made(docs, lambda r: parts(r)[1], _DISK), small)).select("entry", "md5")
+
+
+_SMALL = 512
+
+
+def _part_streams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as sparse streams: 512-byte clusters, a hole of two clusters after the
+    first 1 + p_size of them, then 1 + p_partkey % 5 more; initialised short of the size."""
+    parts = _table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+
+    def lay(r: dict) -> tuple[list, bytes]:
+        a, b = 1 + r["p_size"], 1 + r["p_partkey"] % 5
+        body = ((r["p_name"] + ".") * 4000)[: (a + 2 + b) * _SMALL].encode()
+        return [(r["p_partkey"] * 256 + 10, a), (None, 2), (r["p_partkey"] * 256 + 90, b)], body
+
+    def make(r: dict) -> list[tuple]:
+        runs, body = lay(r)
+        n, key = sum(k for _, k in runs), r["p_partkey"]
+        data = encode.mapped(2, "", runs, (0, n - 1), len(body) - 7, len(body) - 300, flags=1 << 15, cluster=_SMALL)
+        more = [encode.resident(4, "note", b"n"), encode.resident(2, "again", b"aa")]
+        return [(key, encode.record(key, 1, T0, [encode.name_body(5, 5, T0, 0, "p")], [data, *more]))]
+
+    def disk(r: dict) -> list[tuple]:
+        runs, body = lay(r)
+        out, at = [], 0
+        for lcn, n in runs:
+            out += [(lcn + k, body[(at + k) * _SMALL : (at + k + 1) * _SMALL]) for k in range(n if lcn is not None else 0)]
+            at += n
+        return out
+
+    return records.decode(made(parts, make, RAW)), made(parts, disk, _DISK)
+
+
+_PARTS = f"""SELECT p_partkey AS k, 1 + p_size AS a, 1 + p_partkey % 5 AS b, repeat(p_name || '.', 4000) AS t, (1 + p_size + 2 + 1 + p_partkey % 5) * {_SMALL} AS n FROM part"""
 
 
-@_query("""WITH s AS (SELECT p_partkey, p_size, unnest(range(0, 3)) AS i FROM part), r AS (SELECT *, CASE i WHEN 0 THEN p_size WHEN 1 THEN 2 ELSE p_partkey % 5 + 1 END AS n FROM s)
- SELECT p_partkey AS entry, CAST(4096 * coalesce(sum(n) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
- CAST(4096 * n AS BIGINT) AS length, i = 1 AS is_sparse FROM r""")
+@_query(f"""WITH p AS ({_PARTS}), r AS (SELECT k, 0 AS "offset", a * {_SMALL} AS length, false AS is_sparse FROM p UNION ALL SELECT k, a * {_SMALL}, 2 * {_SMALL}, true FROM p
+ UNION ALL SELECT k, (a + 2) * {_SMALL}, b * {_SMALL} - 300, false FROM p UNION ALL SELECT k, n - 300, 293, true FROM p)
+ SELECT CAST(k AS BIGINT) AS entry, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, is_sparse FROM r""")
 def ranges(spark: SparkSession, d: str) -> DataFrame:
-    t0 = (EPOCH,) * 4
+    rows, _ = _part_streams(spark, d)
+    return extents.ranges(extents.extents(records.attributes(rows), _SMALL)).select("entry", "offset", "length", "is_sparse")
+
+
+@_query(f"""WITH p AS ({_PARTS}) SELECT CAST(k AS BIGINT) AS entry,
+ md5(t[1:a * {_SMALL}] || repeat(chr(0), 2 * {_SMALL}) || t[(a + 2) * {_SMALL} + 1:n - 300] || repeat(chr(0), 293)) AS md5, CAST(n - 7 AS BIGINT) AS size FROM p""")
+def stream_sparse_pad(spark: SparkSession, d: str) -> DataFrame:
+    """Holes and what was never initialised read as zeros."""
+    rows, disk = _part_streams(spark, d)
+    data = records.attributes(rows).where((F.col("type") == DATA) & (F.col("name") == ""))
+    return extents.digests(extents.chunks(data, disk, _SMALL)).select("entry", "md5", "size")
+
+
+@_query(f"""WITH p AS ({_PARTS}) SELECT CAST(k AS BIGINT) AS entry, level, from_offset, to_offset, length, is_sparse, cluster_size, reader FROM (
+ SELECT k, 0 AS level, 0 AS from_offset, 0 AS to_offset, n - 300 AS length, false AS is_sparse, 1 AS cluster_size, 'RangeReader' AS reader FROM p
+ UNION ALL SELECT k, 1, 0, k * 256 + 10, a, false, {_SMALL}, 'PagedReader' FROM p UNION ALL SELECT k, 1, a, k * 256 + 10, 2, true, {_SMALL}, 'NullReader' FROM p
+ UNION ALL SELECT k, 1, a + 2, k * 256 + 90, b, false, {_SMALL}, 'PagedReader' FROM p UNION ALL SELECT k, 0, n - 300, 0, 293, true, 1, 'NullReader' FROM p)""".replace("SELECT CAST(k AS BIGINT) AS entry, level, from_offset, to_offset, length, is_sparse, cluster_size, reader FROM (", "SELECT CAST(k AS BIGINT) AS entry, level, CAST(from_offset AS BIGINT) AS from_offset, CAST(to_offset AS BIGINT) AS to_offset, CAST(length AS BIGINT) AS length, is_sparse, CAST(cluster_size AS BIGINT) AS cluster_size, reader FROM ("))
+def run_tree(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _part_streams(spark, d)
+    info = extents.run_info(extents.extents(records.attributes(rows), _SMALL), _SMALL)
+    return info.select("entry", "level", "from_offset", "to_offset", "length", "is_sparse", "cluster_size", "reader")
+
+
+@_query(f"""WITH p AS ({_PARTS}) SELECT CAST(k AS BIGINT) AS id, md5((t[1:a * {_SMALL}] || repeat(chr(0), 2 * {_SMALL}) || t[(a + 2) * {_SMALL} + 1:n - 300] || repeat(chr(0), 293))[k % 700 + 1:k % 700 + 1500]) AS md5 FROM p""")
+def read_at(spark: SparkSession, d: str) -> DataFrame:
+    """1,500 bytes from somewhere in each part's stream, as far as it reaches."""
+    rows, disk = _part_streams(spark, d)
+    found = extents.chunks(records.attributes(rows), disk, _SMALL)
+    asked = _table(spark, d, "part").selectExpr("p_partkey AS id", "p_partkey AS entry", "128L AS type", "'' AS name", "p_partkey % 700 AS offset", "1500L AS length")
+    return extents.read_at(asked, found, 2 * _SMALL).select("id", F.md5("data").alias("md5"))
+
+
+@_query(f"""WITH p AS ({_PARTS}) SELECT CAST(k AS BIGINT) AS id, CAST(CASE WHEN o < a * {_SMALL} THEN (k * 256 + 10) * {_SMALL} + o WHEN o >= (a + 2) * {_SMALL} AND o < n - 300 THEN (k * 256 + 90 - a - 2) * {_SMALL} + o END AS BIGINT) AS disk_offset
+ FROM (SELECT *, (k * 397) % (n + 600) AS o FROM p)""")
+def disk_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where a byte of a file lies on disk."""
+    rows, _ = _part_streams(spark, d)
+    found = extents.extents(records.attributes(rows), _SMALL)
+    size = f"(p_size + 4 + p_partkey % 5) * {_SMALL}"
+    asked = _table(spark, d, "part").selectExpr("p_partkey AS id", "p_partkey AS entry", "128L AS type", "'' AS name", f"CAST(p_partkey * 397 % ({size} + 600) AS BIGINT) AS offset")
+    return extents.disk_offsets(asked, found, _SMALL).select("id", "disk_offset")
+
+
+@_query("""WITH q AS (SELECT p_partkey, p_partkey % 7 AS w FROM part) SELECT CAST(p_partkey AS BIGINT) AS id, CASE w WHEN 0 THEN '' WHEN 1 THEN 'note' WHEN 2 THEN '' WHEN 3 THEN 'again' WHEN 4 THEN 'note' ELSE NULL END AS name,
+ CAST(CASE w WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 4 END AS INTEGER) AS attr FROM q""")
+def select_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Which stream an inode or a name means: unnamed first, by name, by number, by both, none."""
+    rows, _ = _part_streams(spark, d)
+    text = "CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN ':note' WHEN 2 THEN '-128-2' WHEN 3 THEN '-128-2:again' WHEN 4 THEN '-128-4' WHEN 5 THEN '-128-4:again' ELSE ':other' END"
+    asked = _table(spark, d, "part").selectExpr("p_partkey AS id", f"concat(p_partkey, {text}) AS inode")
+    parsed = asked.select("id", *[c.alias(k) for k, c in columns.parse_inode(F.col("inode")).items()])
+    return records.select_stream(parsed, rows).select("id", "name", "attr")
+
+
+@_query("""SELECT p_partkey || '-128-4' AS inode, 'ours' AS side FROM part UNION ALL SELECT p_partkey || '-128-2:again', CASE WHEN p_partkey % 3 = 0 THEN 'both' END FROM part WHERE p_partkey % 3 = 0""")
+def compare_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Our small streams against another tool's list of them, in which some are missing and some differ."""
+    rows, _ = _part_streams(spark, d)
+    ours = records.hash_window(records.streams(rows), rows, 1, 100).select("inode", "size")
+    theirs = _table(spark, d, "part").selectExpr("concat(p_partkey, '-128-2:again') AS inode", "CAST(CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 2 END AS BIGINT) AS size")
+    return records.compare(ours, theirs, ["inode"]).select("inode", "side")
+
+
+# ---- stat rows and models ---------------------------------------------------
+
+def _named_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with a short name, every third with a second long one without ~, some with two streams of one number."""
+    parts = _table(spark, d, "part").select("p_partkey", "p_size")
 
     def make(r: dict) -> list[tuple]:
-        runs = [(r["p_partkey"] + 10, r["p_size"]), (None, 2), (r["p_partkey"] + 900, r["p_partkey"] % 5 + 1)]
-        n = sum(k for _, k in runs)
-        return [(r["p_partkey"], encode.record(r["p_partkey"], 1, t0, [encode.name_body(5, 5, t0, 0, "p")], [encode.mapped(2, "", runs, (0, n - 1), n * CLUSTER)]))]
+        k, at = r["p_partkey"], EPOCH + r["p_partkey"] * 10**7
+        times = (at, at + 10**7, at + 2 * 10**7, at + 3 * 10**7)
+        name = lambda n, kind: encode.name_body(5, 5, times, 0, n, kind)
+        short = f"PART{k}" if k % 3 == 0 else f"PA{k}~1"
+        streams = [encode.resident(6, "", b"x" * r["p_size"])] + ([encode.resident(6, "more", b"yy")] if k % 2 else [])
+        return [(k, encode.record(k, 3, times, [name(short, 2), name(f"part number {k}", 1)], streams))]
+
+    return records.decode(made(parts, make, RAW))
+
+
+_STAT = """WITH p AS (SELECT p_partkey AS k, p_size AS z, p_partkey % 3 = 0 AS long, CASE WHEN p_partkey % 3 = 0 THEN 'PART' || p_partkey ELSE 'PA' || p_partkey || '~1' END AS short, 'part number ' || p_partkey AS name FROM part),
+ s AS (SELECT k, 0 AS i, '' AS ads, k || '-128-6' AS mft_id, z AS size, long, short, name FROM p UNION ALL SELECT k, 1, ':more', k || '-128-6:more', 2, long, short, name FROM p WHERE k % 2 = 1)"""
+
+
+@_query(f"""{_STAT} SELECT mft_id, 3 AS sequence_number, name || ads AS name, short || ads AS extra_names, 'Win32' AS name_type, CAST(size AS BIGINT) AS size, false AS is_dir,
+ make_timestamp((k + 1) * 1000000) AS mtime, make_timestamp((k + 3) * 1000000) AS atime, make_timestamp((k + 2) * 1000000) AS ctime, make_timestamp(k * 1000000) AS btime,
+ make_timestamp(k * 1000000) AS fn_btime FROM s
+ UNION ALL SELECT mft_id, 3, short || ads, name || ads, 'Win32', CAST(size AS BIGINT), false, make_timestamp((k + 1) * 1000000), make_timestamp((k + 3) * 1000000), make_timestamp((k + 2) * 1000000),
+ make_timestamp(k * 1000000), make_timestamp(k * 1000000) FROM s WHERE long""")
+def stat_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = records.stat(_named_parts(spark, d))
+    return rows.select("mft_id", "sequence_number", "name", F.array_join("extra_names", "|").alias("extra_names"), "name_type", "size", "is_dir", "mtime", "atime", "ctime", "btime", "fn_btime")
+
+
+@_query("""SELECT p_partkey AS mft_id, '/part number ' || p_partkey AS full_path, 3 AS sequence_number, CAST(CASE WHEN p_size > 0 THEN p_size WHEN p_partkey % 2 = 1 THEN 2 ELSE 0 END AS BIGINT) AS size, true AS allocated,
+ make_timestamp((p_partkey + 2) * 1000000) AS mft_modified_time, CASE WHEN p_partkey % 3 = 0 THEN 'PART' || p_partkey ELSE 'PA' || p_partkey || '~1' END || ' DOS 5-5,part number ' || p_partkey || ' Win32 5-5' AS filenames,
+ p_partkey || '-16-0 $STANDARD_INFORMATION 72,' || p_partkey || '-48-1 $FILE_NAME ' || (66 + 2 * length(CASE WHEN p_partkey % 3 = 0 THEN 'PART' || p_partkey ELSE 'PA' || p_partkey || '~1' END)) || ',' ||
+ p_partkey || '-48-2 $FILE_NAME ' || (66 + 2 * length('part number ' || p_partkey)) || ',' || p_partkey || '-128-6 $DATA ' || p_size || CASE WHEN p_partkey % 2 = 1 THEN ',' || p_partkey || '-128-6:more $DATA 2' ELSE '' END AS attributes,
+ 'part number ' || p_partkey AS hardlinks FROM part""")
+def file_model(spark: SparkSession, d: str) -> DataFrame:
+    rows = keep(_named_parts(spark, d))
+    made_ = records.model(rows, paths.of_records(rows))
+    names = F.transform("filenames", lambda n: F.format_string("%s %s %d-%d", n["name"], n["type"], n["parent_entry_number"], n["parent_sequence_number"]))
+    shown = F.transform("attributes", lambda a: F.format_string("%s %s %d", a["inode"], a["type"], a["size"]))
+    return made_.select("mft_id", "full_path", "sequence_number", "size", "allocated", F.col("si_times.mft_modified_time").alias("mft_modified_time"), F.array_join(names, ",").alias("filenames"), F.array_join(shown, ",").alias("attributes"), F.array_join("hardlinks", "|").alias("hardlinks"))
+
+
+@_query("""SELECT p_partkey AS entry, '\\part number ' || p_partkey || '|\\' || CASE WHEN p_partkey % 3 = 0 THEN 'PART' || p_partkey ELSE 'PA' || p_partkey || '~1' END AS links FROM part""")
+def short_names(spark: SparkSession, d: str) -> DataFrame:
+    """Links by short names too, the long name first, behind a prefix."""
+    rows = paths.of_records(_named_parts(spark, d), paths.PathOptions(short_names=True, prefix=("",)))
+    one = rows.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("k", "components"))).alias("l"))
+    return one.select("entry", F.array_join(F.transform("l", lambda x: paths.linked(x["components"])), "|").alias("links"))
+
+
+@_query("""SELECT json_object('MFTID', p_partkey, 'FullPath', '/part number ' || p_partkey) AS value FROM part""")
+def json_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = keep(_named_parts(spark, d))
+    return sinks.json_lines(records.model(rows, paths.of_records(rows)).select(F.col("mft_id").alias("MFTID"), F.col("full_path").alias("FullPath")))
+
+
+@_query("""SELECT p_partkey AS entry, 'struct MFT_ENTRY @ 0x0:' || chr(10) || '  Fixup_offset: 0x30' || chr(10) || '  Fixup_count: 0x3' || chr(10) || '  Logfile_sequence_number: 0x' || printf('%x', p_partkey * 8 + 1) || chr(10) ||
+ '  Sequence_value: 0x3' || chr(10) || '  Link_count: 0x2' || chr(10) || '  Attribute_offset: 0x38' || chr(10) || '  Flags: 1 (ALLOCATED)' AS head, '  Record_number: 0x' || printf('%x', p_partkey) AS tail FROM part""")
+def record_text(spark: SparkSession, d: str) -> DataFrame:
+    """Headers as text: the first eight lines and the last."""
+    text = sinks.record_text(_named_parts(spark, d))
+    return text.select("entry", F.substring_index("text", "\n", 8).alias("head"), F.substring_index("text", "\n", -1).alias("tail"))
 
-    s = records.streams(records.decode(_made(_table(spark, d, "part"), make)))
-    return extents.ranges(s).select("entry", "offset", "length", "is_sparse")
+
+# ---- volumes ----------------------------------------------------------------
+
+def _volume(spark: SparkSession, d: str) -> DataFrame:
+    return records.decode(read_volume(spark, build(spark, d)))
+
+
+_VORDER = "SELECT o_orderkey * 2 + 65 AS entry, o_custkey * 2 + 64 AS parent, o_orderkey, o_orderdate, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders"
+
+
+@_query(f"""SELECT entry, 'order-' || o_orderkey AS file_name, size AS file_size, parent AS parent_entry_number, o_orderdate AS created_0x10 FROM ({_VORDER})""")
+def volume_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A volume image: boot sector, a fragmented record table that needs its attribute list, all records."""
+    rows = records.highlights(records.decode(read_volume(spark, build(spark, d)), bodies=False)).where("entry > 63 and not is_dir")
+    return rows.select("entry", "file_name", "file_size", "parent_entry_number", "created_0x10")
+
+
+@_query(f"""WITH b AS (SELECT (SELECT max(o_orderkey) FROM orders) AS m) SELECT entry, 'order-' || o_orderkey AS file_name FROM ({_VORDER}), b WHERE entry BETWEEN 65 + m // 2 AND 65 + m""")
+def mft_range(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter of the entries; the range reaches the source, which reads no others."""
+    top = _table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    raw = read_volume(spark, build(spark, d)).where(F.col("entry").between(65 + top // 2, 65 + top))
+    return records.highlights(records.decode(raw, bodies=False)).where("not is_dir").select("entry", "file_name")
+
+
+@_query(f"SELECT entry, 'order-' || o_orderkey AS file_name FROM ({_VORDER}) WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def mft_point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    top = _table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    raw = read_volume(spark, build(spark, d)).where(F.col("entry") == 2 * top + 65)
+    return records.highlights(records.decode(raw, bodies=False)).select("entry", "file_name")
+
+
+@_query(f"""SELECT o_orderkey * 2 + 65 AS entry, 'order-' || o_orderkey AS file_name FROM orders""")
+def raw_table_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The record table as a file of its own: copied out of the volume, then read without it."""
+    path = fresh_path(spark, "table")
+    write_pages(read_volume(spark, build(spark, d)).select((F.col("entry") * 1024).alias("offset"), F.col("raw").alias("data")), path)
+    until_exit(spark, path)
+    rows = records.highlights(records.decode(read_mft(spark, path), bodies=False)).where("entry > 63 and not is_dir")
+    return rows.select("entry", "file_name")
+
+
+@_query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'Invalid magic' WHEN n_nationkey % 5 = 1 THEN 'Invalid cluster size 600' WHEN n_nationkey % 5 = 2 THEN 'Volume size is 0' END AS error,
+ CAST(512 AS BIGINT) AS sector_size, CAST(CASE WHEN n_nationkey % 5 = 1 THEN 1536 ELSE 4096 END AS BIGINT) AS cluster_size, CAST(CASE WHEN n_nationkey % 5 = 3 THEN 4096 ELSE 1024 END AS BIGINT) AS record_size,
+ CAST(CASE WHEN n_nationkey % 5 = 2 THEN 0 WHEN n_nationkey % 5 = 1 THEN (8000 + n_nationkey) // 3 ELSE (8000 + n_nationkey) // 8 END AS BIGINT) AS block_count,
+ CAST((n_nationkey + 4) * CASE WHEN n_nationkey % 5 = 1 THEN 1536 ELSE 4096 END AS BIGINT) AS mft_offset FROM nation""")
+def boot_sectors(spark: SparkSession, d: str) -> DataFrame:
+    def make(r: dict) -> list[tuple]:
+        k, w = r["n_nationkey"], r["n_nationkey"] % 5
+        return [(k, encode.boot_sector(k + 4, 0 if w == 2 else 8000 + k, 3 if w == 1 else 8, 1 if w == 3 else -10, magic=0x1234 if w == 0 else 0xAA55))]
+
+    sectors = made(_table(spark, d, "nation"), make, [("id", pa.int32()), ("data", pa.binary())])
+    return volume.boot(sectors).select("id", "error", "sector_size", "cluster_size", "record_size", "block_count", "mft_offset")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    path = build(spark, d)
+    return index.nodes(_volume(spark, d), read_disk(spark, path))
+
+
+@_query("""SELECT n_nationkey + 32 AS dir, c_custkey * 2 + 64 AS entry, c_name AS name FROM nation JOIN customer ON n_nationkey = c_nationkey
+ UNION ALL SELECT 64 + 2 * o_custkey, 65 + 2 * o_orderkey, 'order-' || o_orderkey FROM orders
+ UNION ALL SELECT 16 + n_regionkey, 32 + n_nationkey, n_name FROM nation UNION ALL SELECT 5, 16 + r_regionkey, r_name FROM region
+ UNION ALL VALUES (5, 11, '$Extend'), (5, 14, 'System Volume Information'), (11, 12, '$UsnJrnl:$J'), (11, 12, '$UsnJrnl:$Max')
+ UNION ALL SELECT 14, 24 + r_regionkey, lower(printf('{%08x-%04x-0007-0102-030405060708}{0000004d-004d-0007-0102-030405060708}', r_regionkey, r_regionkey)) FROM region""")
+def list_dir(spark: SparkSession, d: str) -> DataFrame:
+    """Children of every directory by its index: root and allocation, joined with stat rows."""
+    found = index.list_dir(_entries(spark, d), records.stat(_volume(spark, d)))
+    return found.select("dir", "entry", "name")
+
+
+@_query("""SELECT 64 + 2 * o_custkey AS dir, CAST(65 + 2 * o_orderkey AS VARCHAR) AS mft_id, 'order-' || o_orderkey AS name, 'DOS+Win32' AS name_type, CAST(floor(o_totalprice) AS BIGINT) AS size,
+ o_orderdate + to_days(3653) AS mtime, o_orderdate + to_days(3653) AS fn_created FROM orders""")
+def i30_directory(spark: SparkSession, d: str) -> DataFrame:
+    """Index entries of directories as files; those of pages have to have plausible times."""
+    found = index.file_info(_entries(spark, d)).where("dir > 63")
+    return found.select("dir", "mft_id", "name", "name_type", "size", "mtime", "fn_created")
+
+
+@_query(f"""SELECT entry, '/' || upper(r_name || '/' || n_name || '/' || c_name || '/order-' || o_orderkey) AS asked FROM (SELECT *, o_orderkey * 2 + 65 AS entry FROM orders) o {_JOINED}""")
+def open_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Upper-cased paths through the directories' indexes, step by step."""
+    asked = _asked(spark, d).withColumnRenamed("asked", "path").withColumnRenamed("o_orderkey", "id")
+    found = index.open_path(asked, keep(_entries(spark, d)))
+    return found.join(asked, "id").select("entry", F.col("path").alias("asked"))
+
+
+@_query("""WITH s AS (SELECT r_regionkey AS k, lower(printf('{%08x-%04x-0007-0102-030405060708}', r_regionkey, r_regionkey)) AS g FROM region)
+ SELECT g AS store_guid, CAST(2 AS BIGINT) AS entry_type, CAST(1000 + k AS BIGINT) AS volume_size, make_timestamp(k * 1000000) AS created, CAST(NULL AS BIGINT) AS block_list, CAST(NULL AS BIGINT) AS previous_bitmap FROM s
+ UNION ALL SELECT g, CAST(3 AS BIGINT), NULL, NULL, CAST(k * 10 AS BIGINT), CAST(k * 10 + 6 AS BIGINT) FROM s""")
+def vss_catalog(spark: SparkSession, d: str) -> DataFrame:
+    found = volume.snapshot_entries(read_snapshots(spark, build(spark, d))).where("entry_type in (2, 3)")
+    created = F.when((F.col("entry_type") == 2) & F.col("created").isNull(), F.lit("1970-01-01").cast("timestamp_ntz")).otherwise(F.col("created"))
+    return found.select("store_guid", "entry_type", "volume_size", created.alias("created"), "block_list", "previous_bitmap")
+
+
+@_query("""SELECT lower(printf('{%08x-%04x-0007-0102-030405060708}', r_regionkey, r_regionkey)) AS copy_guid, 'StoreHeader' AS record_type, CAST(4096 * (r_regionkey + 1) AS BIGINT) AS size,
+ 'VSS_VOLSNAP_ATTR_' || CASE r_regionkey WHEN 0 THEN 'PERSISTENT' WHEN 1 THEN 'NO_AUTORECOVERY' WHEN 2 THEN 'CLIENT_ACCESSIBLE' WHEN 3 THEN 'NO_AUTO_RELEASE' ELSE 'NO_WRITERS' END AS flags FROM region""")
+def vss_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Store files, opened by the paths that the catalogue gives."""
+    rows = keep(_volume(spark, d))
+    asked = volume.snapshot_entries(read_snapshots(spark, build(spark, d))).where("entry_type = 2").select(F.col("offset").alias("id"), F.col("store_path").alias("path"))
+    opened = index.open_path(asked, index.nodes(rows, read_disk(spark, build(spark, d)))).selectExpr("id", "entry", "128L AS type", "65535 AS attr", "':*:' AS stream")
+    stores = records.select_stream(opened, rows).select("id", F.col("content").alias("data"))
+    return volume.snapshot_stores(stores).select("copy_guid", "record_type", "size", "flags")
 
 
 # ---- directory indexes -----------------------------------------------------
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Directory pages of customers, sixteen to a page; every fifth entry is deleted and only in the slack."""
-    c = _table(spark, d, "customer").withColumn("page", F.floor(F.col("c_custkey") / 16)).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("es"))
+    c = _table(spark, d, "customer").withColumn("page", F.floor(F.col("c_custkey") / 16) * 4096).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("es"))
     ft = EPOCH + 15 * 10**8 * 10**7
 
     def make(r: dict) -> list[tuple]:
         es = [(e["c_custkey"], 1, encode.name_body(5, 5, (ft + e["c_custkey"] * 10**7,) * 4, e["c_custkey"] * 3, e["c_name"])) for e in r["es"]]
         return [(r["page"], encode.index_page([e for e in es if e[0] % 5], [e for e in es if e[0] % 5 == 0]))]
 
-    return _made(c, make, "page long, data binary")
+    return made(c, make, [("page", pa.int64()), ("data", pa.binary())])
 
 
 @_query("""SELECT c_custkey AS entry, c_name AS name, c_custkey * 3 AS size, c_custkey % 5 = 0 AS is_slack, make_timestamp((1500000000 + c_custkey) * 1000000) AS created FROM customer""")
 def i30_entries(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.index import entries
+    return index.page_entries(_pages(spark, d)).select("entry", "name", "size", "is_slack", columns.filetime(F.col("created")).alias("created"))
 
-    return entries(_pages(spark, d)).select("entry", "name", "size", "is_slack", "created")
 
+@_query("""SELECT c_name || ',DOS+Win32,' || (c_custkey * 3) || ',' || (c_custkey * 3) || ',' || t || ',' || t || ',' || t || ',' || t AS value
+ FROM (SELECT *, strftime(make_timestamp((1500000000 + c_custkey) * 1000000), '"%Y-%m-%d %H:%M:%S"') AS t FROM customer WHERE c_custkey % 5 <> 0)""".replace('"%Y', '%Y').replace('%S"', '%S'))
+def i30_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A raw index stream, written to files and read back, as lines of CSV; live entries."""
+    path = fresh_path(spark, "index")
+    write_pages(_pages(spark, d).withColumnRenamed("page", "offset"), path)
+    until_exit(spark, path)
+    info = index.file_info(index.page_entries(read_index(spark, path))).where("not is_slack")
+    return sinks.csv_lines(sinks.index_csv(info))
 
-# ---- journal ---------------------------------------------------------------
-
-_KINDS = {"click": 1 << 8, "view": 1 << 1, "purchase": (1 << 31) | 1, "signup": 1 << 12, "logout": 1 << 9}
 
+# ---- journal ---------------------------------------------------------------
 
 def _stretches(spark: SparkSession, d: str, noise: bool = False) -> DataFrame:
     """Events as journal records, in stretches of 256 with gaps of zeros."""
@@ -269,19 +596,20 @@ def _stretches(spark: SparkSession, d: str, noise: bool = False) -> DataFrame:
                 out += b"\0" * (-len(out) % 16)
             elif x["event_id"] % 9 == 0:
                 out += b"\0" * 24
-            out += encode.usn(x["event_id"] + 1000, 1, x["user_id"] + 10, 1, base + len(out) + 1, x["ft"], _KINDS.get(x["event_type"], 1 << 15), f"event-{x['event_id']}.log")
+            out += encode.usn(x["event_id"] + 1000, 1, x["user_id"] + 10, 1, base + len(out) + 1, x["ft"], KINDS.get(x["event_type"], 1 << 15), f"event-{x['event_id']}.log", 1 << x["event_id"] % 3)
         return [(base, bytes(out))]
 
-    return _made(e, make, "base long, data binary")
+    return made(e, make, [("base", pa.int64()), ("data", pa.binary())])
 
 
 _REASON = """CASE event_type WHEN 'click' THEN 'FILE_CREATE' WHEN 'view' THEN 'DATA_EXTEND' WHEN 'purchase' THEN 'CLOSE,DATA_OVERWRITE'
  WHEN 'signup' THEN 'RENAME_OLD_NAME' WHEN 'logout' THEN 'FILE_DELETE' ELSE 'BASIC_INFO_CHANGE' END"""
+_SOURCE = "CASE event_id % 3 WHEN 0 THEN 'DATA_MANAGEMENT' WHEN 1 THEN 'AUXILIARY_DATA' ELSE 'REPLICATION_MANAGEMENT' END"
 
 
-@_query(f"SELECT event_id + 1000 AS file, user_id + 10 AS parent, ts, 'event-' || event_id || '.log' AS name, {_REASON} AS reasons FROM events")
+@_query(f"SELECT event_id + 1000 AS file, user_id + 10 AS parent, ts, 'event-' || event_id || '.log' AS name, {_REASON} AS reasons, {_SOURCE} AS sources, 'ARCHIVE' AS file_attributes FROM events")
 def usn_records(spark: SparkSession, d: str) -> DataFrame:
-    return journal.named(journal.scan(_stretches(spark, d))).select("file", "parent", "ts", "name", "reasons")
+    return journal.named(journal.scan(_stretches(spark, d))).select("file", "parent", "ts", "name", "reasons", "sources", "file_attributes")
 
 
 @_query("SELECT event_id + 1000 AS file, 'event-' || event_id || '.log' AS name FROM events WHERE regexp_matches('event-' || event_id, '9$')")
@@ -296,30 +624,97 @@ def usn_last_record(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT event_id + 1000 AS file, ts, 'event-' || event_id || '.log' AS name FROM events WHERE ts >= TIMESTAMP '2020-01-01'")
 def usn_carve(spark: SparkSession, d: str) -> DataFrame:
-    windows = _stretches(spark, d, noise=True)
-    return journal.named(journal.carve(windows.union(windows))).select("file", "ts", "name")
+    """Records among noise on a raw device, read from files in windows that overlap."""
+    path = fresh_path(spark, "device")
+    write_pages(_stretches(spark, d, noise=True).withColumnRenamed("base", "offset"), path)
+    until_exit(spark, path)
+    return journal.named(journal.carve(read_windows(spark, path))).select("file", "ts", "name")
 
 
-@_query("""SELECT event_id + 1000 AS file, CASE WHEN user_id % 2 = 0 THEN 'user-' || user_id ELSE '<Err>' END AS parent_name FROM events""")
+@_query(f"SELECT event_id + 1000 AS file, ts, {_REASON} AS reasons FROM events WHERE event_id >= 256 * (SELECT (max(event_id) + 1) // 512 FROM events)")
+def usn_source(spark: SparkSession, d: str) -> DataFrame:
+    """The later half of a journal kept as files of ranges; the start reaches the source."""
+    path = fresh_path(spark, "journal")
+    write_pages(_stretches(spark, d).withColumnRenamed("base", "offset"), path)
+    until_exit(spark, path)
+    half = (_table(spark, d, "events").agg(F.max("event_id")).first()[0] + 1) // 512 * 65536
+    return journal.named(read_journal(spark, path).where(F.col("offset") >= half)).select("file", "ts", "reasons")
+
+
+def _volume_journal(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """The journal of the volume: its file by path, the stream $J, its dense ranges."""
+    disk = read_disk(spark, build(spark, d))
+    place = spark.createDataFrame([(1, journal.JOURNAL_PATH)], "id long, path string")
+    found = index.open_path(place, index.nodes(rows.where("entry < 64"), disk))
+    return journal.of_stream(records.attributes(rows.join(found.select("entry"), "entry", "left_semi")), disk)
+
+
+@_query(f"SELECT event_id + 1000 AS file, user_id * 2 + 64 AS parent, ts, {_REASON} AS reasons FROM events")
+def usn_of_volume(spark: SparkSession, d: str) -> DataFrame:
+    return journal.named(_volume_journal(spark, d, keep(_volume(spark, d)))).select("file", "parent", "ts", "reasons")
+
+
+_PARENT = """SELECT event_id, CASE WHEN c_custkey IS NULL AND user_id > 0 THEN '<Err>\\<Parent ' || (64 + 2 * user_id) || ' Error EntryTooShortError>' WHEN c_custkey IS NULL THEN '<Err>\\<Parent 64 Error EntryTooShortError>'
+ WHEN event_id % 2 = 1 THEN '<Err>\\<Parent ' || (64 + 2 * user_id) || '-1 need 2>' ELSE r_name || '\\' || n_name || '\\' || c_name END || '\\event-' || event_id || '.log' AS full_path, * EXCLUDE (event_id)
+ FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
+
+
+@_query(f"SELECT event_id + 1000 AS file, full_path FROM ({_PARENT})")
+def usn_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of journal records: of customers' directories, of parents that are another file by now, of none."""
+    rows = keep(_volume(spark, d))
+    return journal.with_paths(_volume_journal(spark, d, rows), keep(paths.summaries(rows))).select("file", "full_path")
+
+
+@_query("""SELECT event_id + 1000 AS file, CASE WHEN user_id % 2 = 0 THEN 'user-' || user_id ELSE CASE WHEN user_id + 10 IN (SELECT DISTINCT event_id + 1000 FROM events) THEN '?' ELSE '<Err>\\<Parent ' || (user_id + 10) || '-2 need 1>' END END || '\\event-' || event_id || '.log' AS full_path FROM events""")
 def usn_parent_names(spark: SparkSession, d: str) -> DataFrame:
-    recs = journal.scan(_stretches(spark, d))
-    users = _table(spark, d, "events").select("user_id").distinct().select((F.col("user_id") + 10).alias("entry"), F.when(F.col("user_id") % 2 == 0, 1).otherwise(2).alias("seq"), F.concat(F.lit("user-"), F.col("user_id")).alias("name"))
-    return journal.with_parent_names(recs, users, journal.history(recs)).select("file", "parent_name")
+    """Parents by records, then by what the journal remembers: every second one has moved on."""
+    recs = keep(journal.scan(_stretches(spark, d)))
+    users = _table(spark, d, "events").select("user_id").distinct()
+    raw = made(users, lambda r: [(r["user_id"] + 10, encode.record(r["user_id"] + 10, 1 + r["user_id"] % 2, T0, [encode.name_body(5, 5, T0, 0, f"user-{r['user_id']}")], directory=True))], RAW)
+    table = keep(paths.summaries(records.decode(raw, bodies=False)))
+    return journal.with_paths(recs, table, journal.history(recs)).select("file", "full_path")
+
+
+@_query("""SELECT event_id + 1000 AS file, '<Err>\\<Parent 999-1 need 9>\\' || array_to_string(list_transform(range(length(CAST(event_id AS VARCHAR)) - 1, -1, -1), lambda k: 'f' || (event_id // CAST(pow(10, k) AS BIGINT))), '\\') AS full_path FROM events""")
+def usn_history_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are gone: a file's parent was the file of a tenth of its number, which only the journal knows."""
+    e = _table(spark, d, "events").select("event_id", _ft("ts").alias("ft"), F.floor(F.col("event_id") / 256).alias("s"))
+    e = e.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("event_id", "ft"))).alias("es"))
+
+    def make(r: dict) -> list[tuple]:
+        base, out = r["s"] * 65536, bytearray()
+        for x in r["es"]:
+            k = x["event_id"]
+            parent, seq = (k // 10 + 1000, 1) if k >= 10 else (999, 9)
+            out += encode.usn(k + 1000, 1, parent, seq, base + len(out) + 1, x["ft"], 256, f"f{k}")
+        return [(base, bytes(out))]
 
+    recs = keep(journal.scan(made(e, make, [("base", pa.int64()), ("data", pa.binary())])))
+    # by now every one of those records belongs to another file
+    gone = recs.select("file").unionByName(spark.createDataFrame([(999,)], "file long")).distinct()
+    raw = made(gone, lambda r: [(r["file"], encode.record(r["file"], 1 if r["file"] == 999 else 7, T0, [encode.name_body(5, 5, T0, 0, "new")]))], RAW)
+    table = keep(paths.summaries(records.decode(raw, bodies=False)))
+    return journal.with_paths(recs, table, journal.history(recs)).select("file", "full_path")
 
-@_query(f"""SELECT event_id + 1000 AS file, 'Filename: event-' || event_id || '.log' || chr(10) || 'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || chr(10) || 'Reason: ' || {_REASON} AS text FROM events""")
+
+@_query(f"""WITH p AS ({_PARENT}), z AS (SELECT *, CAST(4096 * (1000 + event_id // 40) + coalesce(sum((60 + 2 * length('event-' || event_id || '.log') + 7) // 8 * 8) OVER (PARTITION BY event_id // 40 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM p)
+ SELECT event_id + 1000 AS file, chr(10) || 'USN ID: ' || printf('%x', o + 1) || ' @ ' || printf('%x', o) || chr(10) || 'Filename: event-' || event_id || '.log' || chr(10) || 'FullPath: ' || full_path || chr(10) ||
+ 'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || rtrim(CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || printf('%06d', microsecond(ts) % 1000000) END, '0') || ' +0000 UTC' || chr(10) ||
+ 'Reason: ' || replace({_REASON}, ',', ', ') || chr(10) || 'FileAttributes: ARCHIVE' || chr(10) || 'SourceInfo: ' || {_SOURCE} || chr(10) AS text FROM z""")
 def usn_text(spark: SparkSession, d: str) -> DataFrame:
-    """Text blocks, less their first line, which says where in the journal the record is."""
-    made = sinks.journal_text(journal.named(journal.scan(_stretches(spark, d))))
-    return made.select("file", F.regexp_replace("text", r"^USN ID: [0-9a-f]+ @ [0-9a-f]+\n", "").alias("text"))
+    """Journal records as blocks of text."""
+    rows = keep(_volume(spark, d))
+    recs = journal.named(journal.with_paths(_volume_journal(spark, d, rows), keep(paths.summaries(rows))))
+    return sinks.journal_text(recs).select("file", "text")
 
 
 # ---- codecs and scalar functions --------------------------------------------
 
 def _round_trip(spark: SparkSession, d: str, pack, unpack) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
-    packed = _made(docs, lambda r: [(r["doc_id"], pack(r["body"] or b""))], "doc_id long, packed binary")
-    return _made(packed, lambda r: [(r["doc_id"], *unpack(r["packed"]))], "doc_id long, data binary, error string").select("doc_id", F.md5("data").alias("md5"), "error")
+    packed = made(docs, lambda r: [(r["doc_id"], pack(r["body"] or b""))], [("doc_id", pa.int64()), ("packed", pa.binary())])
+    return made(packed, lambda r: [(r["doc_id"], *unpack(r["packed"]))], [("doc_id", pa.int64()), ("data", pa.binary()), ("error", pa.string())]).select("doc_id", F.md5("data").alias("md5"), "error")
 
 
 @_query("SELECT doc_id, md5(text) AS md5, CAST(NULL AS VARCHAR) AS error FROM documents")
@@ -340,14 +735,14 @@ def xpress_huffman_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT event_id, ts, user_id FROM events")
 def filetime_decode(spark: SparkSession, d: str) -> DataFrame:
-    made = _made(_table(spark, d, "events").select("event_id", _ft("ts").alias("ft"), "user_id"), lambda r: [(r["event_id"], r["ft"].to_bytes(8, "little") + r["user_id"].to_bytes(4, "little"))], "event_id long, b binary")
-    return made.select("event_id", columns.filetime(columns.little(F.col("b"), 0, 8)).alias("ts"), columns.little(F.col("b"), 8, 4).alias("user_id"))
+    rows = made(_table(spark, d, "events").select("event_id", _ft("ts").alias("ft"), "user_id"), lambda r: [(r["event_id"], r["ft"].to_bytes(8, "little") + r["user_id"].to_bytes(4, "little"))], [("event_id", pa.int64()), ("b", pa.binary())])
+    return rows.select("event_id", columns.filetime(columns.little(F.col("b"), 1, 8)).alias("ts"), columns.little(F.col("b"), 9, 4).alias("user_id"))
 
 
 @_query("SELECT c_custkey, lower(printf('{%08x-%04x-%04x-0102-0304050607%02x}', c_custkey, c_custkey % 65536, c_nationkey, c_nationkey)) AS guid FROM customer")
 def guid_format(spark: SparkSession, d: str) -> DataFrame:
-    made = _made(_table(spark, d, "customer"), lambda r: [(r["c_custkey"], r["c_custkey"].to_bytes(4, "little") + (r["c_custkey"] % 65536).to_bytes(2, "little") + r["c_nationkey"].to_bytes(2, "little") + bytes([1, 2, 3, 4, 5, 6, 7, r["c_nationkey"]]))], "c_custkey long, b binary")
-    return made.select("c_custkey", columns.guid(F.col("b")).alias("guid"))
+    rows = made(_table(spark, d, "customer"), lambda r: [(r["c_custkey"], r["c_custkey"].to_bytes(4, "little") + (r["c_custkey"] % 65536).to_bytes(2, "little") + r["c_nationkey"].to_bytes(2, "little") + bytes([1, 2, 3, 4, 5, 6, 7, r["c_nationkey"]]))], [("c_custkey", pa.int64()), ("b", pa.binary())])
+    return rows.select("c_custkey", columns.guid(F.col("b")).alias("guid"))
 
 
 @_query("""SELECT p_partkey, array_to_string(list_sort(list_filter([CASE WHEN p_size & 1 <> 0 THEN 'READ_ONLY' END, CASE WHEN p_size & 2 <> 0 THEN 'HIDDEN' END,
@@ -365,14 +760,35 @@ def inode_parse(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "nation").select("n_nationkey", *[c.alias(k) for k, c in columns.parse_inode(text).items()])
 
 
-@_query(f"""SELECT entry, CASE WHEN o_orderkey % 11 = 0 THEN 'FixupError' WHEN o_orderkey % 13 = 0 THEN 'NumberMismatch' ELSE 'NoName' END AS fault
+@_query(f"""SELECT entry, CASE WHEN o_orderkey % 11 = 0 THEN 'Fixup error with MFT ' || (entry + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) WHEN o_orderkey % 13 = 0 THEN 'NumberMismatch' ELSE 'NoName' END AS fault
  FROM ({_ORDER}) WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0""")
 def mft_audit(spark: SparkSession, d: str) -> DataFrame:
-    t0 = (EPOCH,) * 4
-
     def make(r: dict) -> list[tuple]:
         k = r["o_orderkey"]
-        names = [] if k % 17 == 0 else [encode.name_body(5, 5, t0, 0, "x")]
-        return [(k + 10_000_000, encode.record(k + 10_000_000 + (k % 13 == 0), 1, t0, names, broken=k % 11 == 0))]
+        names = [] if k % 17 == 0 else [encode.name_body(5, 5, T0, 0, "x")]
+        return [(k + 10_000_000, encode.record(k + 10_000_000 + (k % 13 == 0), 1, T0, names, broken=k % 11 == 0))]
+
+    return records.audit(records.decode(made(_table(spark, d, "orders").select("o_orderkey"), make, RAW)))
+
+
+@_query("""SELECT c_custkey, least(c_custkey, 100) AS capped, split_part(c_name, '#', 1) AS ended, string_agg(lower(x), '|' ORDER BY i DESC) AS parts
+ FROM (SELECT c_custkey, c_name, unnest(['a', 'b', c_name]) AS x, unnest([1, 2, 3]) AS i FROM customer) GROUP BY ALL""")
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Caps, texts that a zero ends, components of a path in reverse."""
+    path = F.concat(F.lit("\\a//b/./"), F.lower("c_name"), F.lit(":stream"))
+    raw = F.encode(F.replace("c_name", F.lit("#"), F.lit("\0")), "ISO-8859-1")
+    return _table(spark, d, "customer").select(
+        "c_custkey", columns.capped(F.col("c_custkey"), 100).alias("capped"), columns.ended_text(raw).alias("ended"), F.array_join(F.reverse(columns.path_parts(path)), "|").alias("parts")
+    )
+
+
+@_query("""SELECT '| ' || rpad(CAST(r_regionkey AS VARCHAR), 11, ' ') || ' | ' || rpad(r_name, CAST(greatest(6, (SELECT max(length(r_name)) FROM region)) AS INTEGER), ' ') || ' |' AS value FROM region""")
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.table_lines(_table(spark, d, "region").select("r_regionkey", "r_name"))
+
 
-    return records.audit(records.decode(_made(_table(spark, d, "orders").select("o_orderkey"), make)))
+@_query("""SELECT c_custkey, '00000000  ' || lower(regexp_replace(hex(c_name[1:8]), '(..)', '\\1 ', 'g')) || ' ' || lower(regexp_replace(hex(c_name[9:16]), '(..)', '\\1 ', 'g')) || ' |' || c_name[1:16] || '|' AS line
+ FROM (SELECT c_custkey, rpad(c_name, 20, '.') AS c_name FROM customer)""")
+def hex_dumps(spark: SparkSession, d: str) -> DataFrame:
+    """The first sixteen bytes as a line."""
+    return _table(spark, d, "customer").select("c_custkey", sinks.hex_dump(F.encode(F.rpad("c_name", 20, "."), "UTF-8"), 16).alias("line"))
