@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import until_exit
+
 CHUNK_BYTES = 2 << 20
 TRIM_BYTES = 16 << 20
 U64 = np.uint64
@@ -184,9 +186,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def keep(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts the
-    lineage and survives the loss of any executor."""
+    lineage and survives the loss of any executor.  The folder goes when the
+    driver's JVM ends."""
     path = fresh_path(df.sparkSession, "kept")
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

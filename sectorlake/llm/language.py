@@ -12,8 +12,8 @@ Codes: all 2**(n-1) - 1 distinct splits of n languages up to 7 languages, else
 random balanced words of 10 log2(n) bits, the best of several draws by least
 distance.
 
-Fitting uses at most about DOCS_A_LANGUAGE documents of each language (whole
-texts, chosen by a hash of the id).
+Fitting uses at most about DOCS_A_LANGUAGE documents of each language, and about
+FIT_DOCS in all (whole texts, chosen by a hash of the id).
 
 Defined results: ``und``, score 0, not ambiguous, for a null text or one
 without a letter; no labelled texts: ``und`` for all; a null doc_id counts as 0.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunked, column, crc_mod
 
 DIMS = 2048
-DOCS_A_LANGUAGE = 1000
+DOCS_A_LANGUAGE, FIT_DOCS = 1000, 20_000
 HELD_OUT = 2
 FOLDS = 4
 MARGIN = 0.05
@@ -122,17 +122,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(part, "lang"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(has)], names=["lang", "x", "has"])
 
 
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+
+
 def train(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model | None:
     """A model from labelled texts outside the held-out fold."""
-    learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod(FOLDS) != HELD_OUT)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    learn = docs.select(_id().alias("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    learn = learn.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod(FOLDS) != HELD_OUT))
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
+    each = max(1, min(docs_a_language, FIT_DOCS // languages))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (draw < min(1.0, docs_a_language / n)))
-    rows = learn.where(chosen).select("lang", "text").mapInArrow(_vectors, "lang string, x binary, has boolean").where("has").select("lang", "x").toArrow()
+    rows = learn.join(counts, "lang").where(draw < each / F.col("n")).select("lang", "text").mapInArrow(_vectors, "lang string, x binary, has boolean").where("has").select("lang", "x").toArrow()
     if not rows.num_rows:
         return None
     found = rows.column("lang").to_pylist()
@@ -162,5 +166,6 @@ def _predicted(model: Model | None, margin: float):
 
 def identify(docs: DataFrame, model: Model | None, margin: float = MARGIN) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, ambiguous."""
-    body = docs.select(F.col("doc_id").cast("long"), F.coalesce(crc_mod(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
+    body = docs.select(_id().alias("doc_id"), F.col("text").cast("string"))
+    body = body.select("doc_id", (crc_mod(FOLDS) == HELD_OUT).alias("held_out"), "text")
     return body.mapInArrow(_predicted(model, margin), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -143,7 +143,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     segments = np.array(sorted(plan(histogram, capacity)), dtype=np.int64).reshape(-1, 6)
     w = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("length", "block", "before")
-    ranked = pieces.join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("local"))
+    # as many rows as lengths and blocks: too many to send to every task at scale, while pieces are few bytes each
+    ranked = pieces.join(before.hint("merge"), ["length", "block"]).withColumn("rank", F.col("before") + F.col("local"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     if not len(segments):
         return docs.sparkSession.createDataFrame([], out)

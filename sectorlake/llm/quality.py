@@ -206,6 +206,10 @@ def train(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> R
     """An ensemble from labels (doc_id, quality) outside the held-out fold."""
     labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(FOLDS) != HELD_OUT))
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    # a share of the labels by a hash of the id, a little over fit_rows of them, so no task offers more
+    known = labels.count()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    labels = labels.where(draw < int(min(1.0, 1.25 * fit_rows / max(1, known)) * (1 << 30)))
     rows = measured.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
     return fit(rows[STATISTICS].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
 

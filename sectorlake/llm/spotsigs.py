@@ -7,10 +7,8 @@ fingerprint is that set as text: the spots' 64-bit hashes in hexadecimal, in
 order, so equal texts have equal fingerprints and likeness is the Jaccard
 measure of two fingerprints.
 
-``similar`` finds near copies: fingerprints are partitioned by set length, only
-partitions whose lengths allow the threshold meet, candidates share one of the
-first few elements (a prefix that any similar pair must share), and the Jaccard
-measure decides.
+``similar`` finds near copies among all documents: fingerprints are partitioned by
+set length and compared through a pruned Jaccard measure.
 
 Defined results: a null text counts as empty; a text without any spot (empty
 ones too) has one signature, the hash of its normal form; rows that repeat a
@@ -34,6 +32,7 @@ ANCHORS = (
 ).split()
 DOCS_A_BUCKET = 5000
 MOST_CUTS = 512
+BUCKETS_TO_SEND = 50_000  # of 24 bytes each: as many borders may go to every task
 
 
 def normal(text: Column) -> Column:
@@ -67,9 +66,12 @@ def fingerprint(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard measure of two sets of spots, 0 where their lengths already rule out any."""
+    """Jaccard measure of two sorted sets of spots.  Sets whose ranges of hashes do
+    not overlap have none in common, which is seen without comparing them."""
     common = F.size(F.array_intersect(a, b))
-    return (common / (F.size(a) + F.size(b) - common)).cast("double")
+    exact = (common / (F.size(a) + F.size(b) - common)).cast("double")
+    apart = (F.element_at(a, -1) < F.element_at(b, 1)) | (F.element_at(b, -1) < F.element_at(a, 1))
+    return F.when(a == b, F.lit(1.0)).when(apart, F.lit(0.0)).otherwise(exact)
 
 
 def _cut(bounds: list[int], lo: int, hi: int) -> Column:
@@ -80,8 +82,9 @@ def _cut(bounds: list[int], lo: int, hi: int) -> Column:
     return F.when(F.col("doc_id") < F.lit(bounds[mid]), _cut(bounds, lo, mid)).otherwise(_cut(bounds, mid + 1, hi))
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """docs with a bucket that ascends with doc_id: quantiles of the id, each cut evenly again where many rows need it."""
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with a bucket that ascends with doc_id, and how many there may be:
+    quantiles of the id, each cut evenly again where many rows need it."""
     found = docs.agg(F.count("*").alias("n")).first()["n"]
     cuts = min(MOST_CUTS, max(1, -(-found // DOCS_A_BUCKET)))
     finer = max(1, -(-found // (DOCS_A_BUCKET * cuts)))
@@ -91,11 +94,11 @@ def _bucketed(docs: DataFrame) -> DataFrame:
         bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 20_000)).first()[0]))
     out = docs.withColumn("cut", _cut(bounds, 0, len(bounds)).cast("long"))
     if finer == 1:
-        return out.withColumnRenamed("cut", "bucket")
+        return out.withColumnRenamed("cut", "bucket"), cuts
     edge = F.array(*[F.lit(b) for b in [-(1 << 62), *bounds, 1 << 62]])
     low, high = F.get(edge, F.col("cut").cast("int")), F.get(edge, (F.col("cut") + 1).cast("int"))
     inner = F.floor((F.col("doc_id") - low).cast("double") * finer / (high - low).cast("double"))
-    return out.withColumn("bucket", F.col("cut") * finer + F.greatest(F.lit(0), F.least(F.lit(finer - 1), inner))).drop("cut")
+    return out.withColumn("bucket", F.col("cut") * finer + F.greatest(F.lit(0), F.least(F.lit(finer - 1), inner))).drop("cut"), cuts * finer
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -104,12 +107,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     Each bucket also gets the first document of the following one, so a window
     inside buckets suffices and no task sees all rows.
     """
-    body = _bucketed(docs).withColumn("tie", F.xxhash64("text"))
+    body, buckets = _bucketed(docs)
+    body = body.withColumn("tie", F.xxhash64("text"))
     firsts = body.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("f"))
     # one row for each bucket
     order = Window.orderBy("bucket")
     last = F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     before = firsts.select("f.doc_id", "f.tie", F.coalesce(F.lag("bucket").over(order), last).alias("bucket"))
+    before = F.broadcast(before) if buckets <= BUCKETS_TO_SEND else before
     border = body.drop("bucket").join(before, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
     rows = body.withColumn("border", F.lit(0)).unionByName(border.select("doc_id", "text", "bucket", "tie", F.lit(1).alias("border")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -145,17 +150,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, likeness) between classes of equal fingerprints, and membership (doc_id, class)."""
+    """Pairs (a, b, likeness) between classes of equal fingerprints, and membership (doc_id, class).
+
+    Sets are partitioned by length: partition i holds lengths from t**-i on, so
+    similar sets lie in the same or in neighbouring ones.  In each, sets meet at
+    the elements of their prefixes, rarest first, that any similar pair must share,
+    and only where their lengths allow the threshold; each pair is compared once.
+    Classes that meet at one element are compared with all others there, so their
+    number there is what the cost grows with; copies are one class.
+    """
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     body = with_spots(body, "text", "spots").select("doc_id", "spots")
     classes = body.groupBy("spots").agg(F.min("doc_id").alias("class"))
     members = body.join(classes, "spots").select("doc_id", "class")
     n = F.size("spots")
-    band = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
-    prefix = F.greatest(F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-    keyed = classes.withColumn("band", band).withColumn("s", F.explode(F.slice("spots", F.lit(1), prefix)))
-    a = keyed.select(F.col("class").alias("a"), F.col("spots").alias("sa"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "s")
-    b = keyed.select(F.col("class").alias("b"), F.col("spots").alias("sb"), "band", "s")
-    close = a.join(b, ["band", "s"]).where("a <> b").where(F.least(F.size("sa"), F.size("sb")) >= F.lit(threshold) * F.greatest(F.size("sa"), F.size("sb")) - 1e-9)
-    pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness"))
-    return pairs.where(F.col("likeness") >= threshold - 1e-12).distinct(), members
+    sets = classes.select(F.xxhash64("spots").alias("node"), "class", "spots", n.alias("n"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
+    take = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int") + 1)
+    each = sets.select("node", "n", band.alias("band"), take.alias("take"), F.explode("spots").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "s")
+    keyed = each.join(often, "s").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("take"))
+    a = keyed.where("df > 1").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "s")
+    b = keyed.where("df > 1").select(F.col("node").alias("b"), F.col("n").alias("nb"), "band", "s")
+    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    met = a.join(b, ["band", "s"]).where(F.col("a") != F.col("b")).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = sets.select(F.col("node").alias("a"), F.col("class").alias("ca"), F.col("spots").alias("sa"))
+    y = sets.select(F.col("node").alias("b"), F.col("class").alias("cb"), F.col("spots").alias("sb"))
+    pairs = met.join(x, "a").join(y, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    return pairs.where(F.col("likeness") >= threshold - 1e-12), members

@@ -18,10 +18,12 @@ join into maximal repeats.
 No pairs of documents are formed: a group of m copies costs m rows, however
 large.  Hashes have 64 bits.
 
+Occurrences belong to rows, which a hash of id and text names, so rows that repeat
+a doc_id lose the words of their own text alone.
+
 Defined results: a null or empty text has no words and loses none; documents
 shorter than the window lose nothing; rows that repeat a doc_id do not remove
-each other's windows, and if their texts differ, stretches found in one are
-taken from both; a null doc_id is handled as 0; other columns are ignored.
+each other's windows; a null doc_id is handled as 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,15 +86,15 @@ def _anchors(window: int, seed_words: int):
             hi = hi[np.append(run_lo[1:], len(lo)) - 1] if len(lo) else hi
             lo, value, stretch, doc = lo[run_lo], value[run_lo], stretch[run_lo], doc[run_lo]
             yield pa.RecordBatch.from_arrays(
-                [i64(value), i64(stretch), ids[doc], (lo - w.first[doc]).astype(np.int32), (hi - w.first[doc]).astype(np.int32)],
-                names=["anchor", "stretch", "doc_id", "lo", "hi"],
+                [i64(value), i64(stretch), ids[doc], column(part, "row").to_numpy()[doc], (lo - w.first[doc]).astype(np.int32), (hi - w.first[doc]).astype(np.int32)],
+                names=["anchor", "stretch", "doc_id", "row", "lo", "hi"],
             )
 
     return run
 
 
 def _windows(window: int):
-    """Hashes of the windows asked for: rows of doc_id, text, spans."""
+    """Hashes of the windows asked for: rows of doc_id, row, text, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
@@ -106,41 +108,50 @@ def _windows(window: int):
             pos = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             doc = np.repeat(doc, count)
             start = w.first[doc] + pos
-            ok = start + window <= w.first[doc + 1]  # rows that repeat a doc_id with another text
-            start, pos, doc = start[ok], pos[ok], doc[ok]
             value = run_hash(w.hash, start, start + window, U64(0xB5297A4D3C6EF372 | 1))
-            yield pa.RecordBatch.from_arrays([i64(value), ids[doc], pos.astype(np.int32)], names=["content", "doc_id", "lo"])
+            yield pa.RecordBatch.from_arrays([i64(value), ids[doc], column(part, "row").to_numpy()[doc], pos.astype(np.int32)], names=["content", "doc_id", "row", "lo"])
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, lo, hi): words lo..hi-1 are covered by windows that also start
-    in a document with a smaller id.  Intervals of a document may overlap."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"))
-    found = docs.mapInArrow(_anchors(window, seed_words), "anchor long, stretch long, doc_id long, lo int, hi int")
+def _rows(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, row (the key of id and text), text and other columns."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"), *others)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *others)
+
+
+def repeats(rows: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
+    """(row, lo, hi): words lo..hi-1 are covered by windows that also start in a
+    document with a smaller id.  Intervals of a row may overlap."""
+    found = rows.mapInArrow(_anchors(window, seed_words), "anchor long, stretch long, doc_id long, row long, lo int, hi int")
+    # one exchange serves the grouping of anchors and the join with it: both sides ask for the same columns
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.where("anchor is not null and stretch is not null and doc_id is not null and row is not null and lo is not null and hi is not null").repartition(n, "anchor")
     shared = (
         found.groupBy("anchor")
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"))
-        .where("first_doc < last_doc")
+        .agg(
+            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("stretch").alias("s0"), F.max("stretch").alias("s1"),
+            F.min("lo").alias("lo0"), F.max("hi").alias("hi1"), F.max("row").alias("row1"),
+        )
+        .where("first_doc < last_doc and lo0 <= hi1 and row1 is not null")
         .select("anchor", "first_doc", (F.col("s0") == F.col("s1")).alias("alike"))
-    )
+    )
     # shared anchors are a fraction of all; what follows reads them several times
     seeds = keep(found.join(shared, "anchor"))
-    settled = seeds.where("alike and doc_id > first_doc").select("doc_id", "lo", (F.col("hi") + window).alias("hi"))
+    settled = seeds.where("alike and doc_id > first_doc").select("row", "lo", (F.col("hi") + window).alias("hi"))
     mixed = seeds.where("not alike")
     classes = mixed.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("rep"))
-    classed = keep(mixed.join(classes, ["anchor", "stretch"]).select("doc_id", "lo", "hi", "rep"))
-    copies = classed.where("doc_id > rep").select("doc_id", "lo", (F.col("hi") + window).alias("hi"))
+    classed = keep(mixed.join(classes, ["anchor", "stretch"]).select("doc_id", "row", "lo", "hi", "rep"))
+    copies = classed.where("doc_id > rep").select("row", "lo", (F.col("hi") + window).alias("hi"))
     # every occurrence in that document: a passage it holds twice has to go twice
-    asked = classed.where("doc_id = rep").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    contents = docs.join(asked, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(window), "content long, doc_id long, lo int")
+    asked = classed.where("doc_id = rep").groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    contents = rows.join(asked, "row").select("doc_id", "row", "text", "spans").mapInArrow(_windows(window), "content long, doc_id long, row long, lo int")
     contents = keep(contents)
     first = contents.groupBy("content").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     extended = (
         contents.join(first, "content")
         .where("doc_id > first_doc")
-        .select("doc_id", "lo", (F.col("lo") + window).alias("hi"))
+        .select("row", "lo", (F.col("lo") + window).alias("hi"))
     )
     return settled.unionByName(copies).unionByName(extended)
 
@@ -185,8 +196,8 @@ def _strip(keep_text: bool):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the carried columns, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"), *carry)
-    spans = repeats(body, window, seed_words).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    body = _rows(docs, *carry)
+    spans = repeats(body.select("doc_id", "row", "text"), window, seed_words).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     kinds = dict(body.dtypes)
     schema = "doc_id long, " + "".join(f"`{c}` {kinds[c]}, " for c in carry) + "n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return body.join(spans, "doc_id", "left").select("doc_id", *carry, "text", "spans").mapInArrow(_strip(keep_text), schema)
+    return body.join(spans, "row", "left").select("doc_id", *carry, "text", "spans").mapInArrow(_strip(keep_text), schema)

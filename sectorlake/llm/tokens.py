@@ -1,10 +1,11 @@
 """Token ids with the tokenizers library, and their files in ORC.
 
-The tokenizer of the vocabulary file folds white space and splits on it, so a
-text's ids are those of its words one after another.  The distinct words of a
-chunk are encoded once, many in one call with a separator token between them,
-and the ids are then dealt to the words; a worker remembers the words it met.  ``split_by_words`` checks on a probe
-that a tokenizer behaves like this; one that does not encodes whole texts.
+A tokenizer that splits on white space gives a text the ids of its words one after
+another.  Probes find out whether one does, whether it folds case, and whether it
+splits off full stops and commas.  If it does, the distinct words of a chunk are
+encoded once, many in one call with a special token between them, and the ids are
+then dealt to the words; a worker remembers the words it met.  Texts that may hold
+a special token, and all texts of other tokenizers, are encoded whole.
 
 The path of the vocabulary file is a parameter.
 """
@@ -12,6 +13,7 @@ The path of the vocabulary file is a parameter.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import until_exit
 from .common import _BYTE_MUL, _TABLE, U64, Words, chunked, column, fresh_path, ids_of, keep, run_hash
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 WORDS_A_CALL = 512
+_FOLDED = "some words, m1xed and more"
 _PROBE = "It's the 3rd  \tÉté-été,\nnaïve... don't! x1y22  áb | ÀÇ"
 
 
@@ -37,35 +41,48 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+class _Tokenizer:
+    """A tokenizer and what probes say of it."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.specials = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()]
+        self.pattern = "|".join(re.escape(c) for c, _ in self.specials)
+        words = [w.decode() for w in _PROBE.encode().split()]
+        parts = [self.ids(w) for w in words]
+        self.folds = self.ids(_FOLDED.upper()) == self.ids(_FOLDED)
+        self.tails = all(self.ids(w + t) == self.ids(w) + self.ids(t) for w in ("word", "x1", "9", "Ab") for t in ".,")
+        self.mark = next(((c, i) for c, i in self.specials if self.ids(c.join(words) + c) == [x for p in parts for x in (*p, i)]), None)
+        self.by_words = self.mark is not None and self.ids(_PROBE) == [i for p in parts for i in p]
+
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
 
-    tok = Tokenizer.from_file(path)
-    special = [(t.content, i) for i, t in tok.get_added_tokens_decoder().items()]
-    whole = tok.encode(_PROBE, add_special_tokens=False).ids
-    parts = [tok.encode(w.decode(), add_special_tokens=False).ids for w in _PROBE.encode().split()]
-    by_words = bool(special) and whole == [i for p in parts for i in p]
-    return tok, special, by_words
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str) -> _Tokenizer:
+    return _Tokenizer(path)
 
 
 def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk of texts (null: no ids), and where each text's begin."""
-    tok, special, by_words = _tokenizer(path)
-    if not by_words:
-        out = [e.ids for e in tok.encode_batch(text.fill_null("").to_pylist(), add_special_tokens=False)]
+    t = _tokenizer(path)
+    if not t.by_words:
+        out = [e.ids for e in t.tok.encode_batch(text.fill_null("").to_pylist(), add_special_tokens=False)]
         size = np.array([len(x) for x in out], dtype=np.int64)
         return np.fromiter((i for x in out for i in x), np.uint32, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
     text = text.fill_null("")
-    marked = pc.match_substring(text, "<|").to_numpy(zero_copy_only=False)
-    if marked.any():  # may hold a special token's text: encode these whole
+    marked = pc.match_substring_regex(text, t.pattern, ignore_case=True).to_numpy(zero_copy_only=False)
+    if marked.any():  # may hold a special token: encode these whole
         flat, first = encode(pc.if_else(pa.array(marked), "", text), path)
-        whole = {int(i): tok.encode(text[int(i)].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(marked)}
+        whole = {int(i): t.ids(text[int(i)].as_py()) for i in np.flatnonzero(marked)}
         parts = [np.array(whole[i], np.uint32) if i in whole else flat[first[i] : first[i + 1]] for i in range(len(text))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-    w = Words(text, lower=True, hashed=False)  # the tokenizer folds these letters too
-    start, end, first = _without_tails(w)
+    w = Words(text, lower=t.folds, hashed=False)
+    start, end, first = _without_tails(w) if t.tails else (w.start, w.end, w.first)
     value = run_hash(_TABLE[w.buf], start, end, _BYTE_MUL)
     one, begin, back = np.unique(value, return_index=True, return_inverse=True)
     known = _known.get(path)
@@ -75,7 +92,7 @@ def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if (new := np.flatnonzero(at < 0)).size:
         raw = w.buf.tobytes()
         words = [raw[a:b].decode() for a, b in zip(start[begin[new]].tolist(), end[begin[new]].tolist(), strict=True)]
-        known.add(one[new], *_encode_words(words, tok, special[0]))
+        known.add(one[new], *_encode_words(words, t.tok, t.mark))
         at = known.find(one)
     begin, n = known.begin[at][back], known.size[at][back]
     total = np.concatenate([[0], np.cumsum(n)])
@@ -87,7 +104,7 @@ def _without_tails(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with a full stop or comma after a letter or digit as a word of its
     own: the tokenizer splits there, and fewer distinct words remain."""
     inner = np.zeros(256, dtype=bool)
-    inner[[*range(97, 123), *range(48, 58)]] = True
+    inner[[*range(97, 123), *range(65, 91), *range(48, 58)]] = True
     last = w.buf[w.end - 1]
     tail = np.flatnonzero(((last == 46) | (last == 44)) & (w.end - w.start > 1) & inner[w.buf[w.end - 2]])
     end = w.end.copy()
@@ -164,7 +181,9 @@ def write_orc(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> Non
     their statistics and reads the others in parallel.
     """
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string"))
-    placed = body.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # the text's hash lets rows that repeat one id spread over files
+    tie = F.xxhash64("text")
+    placed = body.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     (
         placed.mapInArrow(_encoded(path, end_id), "doc_id long, ids array<int>")
         .write.option("compression", "zstd")
@@ -216,4 +235,12 @@ def token_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     spark = docs.sparkSession
     out = fresh_path(spark, "tokens-orc")
     write_orc(docs, out, path or vocabulary_path(), end_id)
+    until_exit(spark, out)
     return read_orc(spark, out)
+
+
+def read_ids(spark, out: str, low: int, high: int) -> DataFrame:
+    """(doc_id, ids) of a range of documents.  The filter reaches the ORC reader:
+    files and stripes whose statistics exclude the range are not read, and for a
+    single document the Bloom filters rule out row groups too."""
+    return spark.read.schema("doc_id long, ids array<int>").orc(out).where(F.col("doc_id").between(low, high) if low != high else F.col("doc_id") == low)

@@ -10,17 +10,19 @@ path wins; of equally long ones, a block.
 
 A sweep needs its rows sorted among themselves only, so rows stay in the
 partitions they are read in, however hot a host is, and the rules come to
-them: up to RULES_A_SWEEP rules as a value whose size has been checked, more
-in slices of the sorted rules, one sweep for each, of which the longest match
-stays.
+them: up to RULES_A_SWEEP rules, and RULE_CHARS characters of them, as a value
+whose size has been checked, more in slices, one sweep for each, of which the
+longest match stays.  A sweep starts at its first key: the rules that are open
+there are those of the key's own labels.
 
 Defined results: a null url, or one without "://", has an empty host and path
-and fits no rule; an empty host fits none either; rules with a null host or
-path are ignored; repeated pages are judged each; other columns are ignored.
+and fits no rule; an empty host fits none either; rules with a null host, path or
+verdict are ignored; repeated pages are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import column
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULES_A_SWEEP = 50_000
+RULES_A_SWEEP, RULE_CHARS = 50_000, 8 << 20
 DEFAULT_VERDICT = "allow"
 
 
@@ -53,6 +55,12 @@ def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, str, str, st
     out: list[tuple[str, str] | None] = []
     stack: list[tuple[str, str, str, str]] = []
     i = 0
+    if keys:
+        i = bisect_left(rules, (keys[0],))
+        labels = keys[0].split(".")[:-1]
+        for n in range(1, len(labels)):  # open before the first key
+            above = ".".join(labels[:n]) + "."
+            stack += rules[bisect_left(rules, (above,)) : bisect_right(rules, (above, "\U0010ffff"))]
     for key, path in zip(keys, paths, strict=True):
         while i < len(rules) and rules[i][0] <= key:
             while stack and not rules[i][0].startswith(stack[-1][0]):
@@ -93,8 +101,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     empty = F.lit(None).cast("string")
     body = body.withColumn("key", key).withColumn("rule", empty).withColumn("verdict", empty)
     schema = "page_id long, host string, path string, key string, rule string, verdict string"
-    rules = rules.where("host is not null and path is not null and host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
-    slices = max(1, -(-rules.count() // RULES_A_SWEEP))
+    rules = rules.where("host is not null and path is not null and verdict is not null and host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
+    count, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()
+    slices = max(1, -(-count // RULES_A_SWEEP), -(-chars // RULE_CHARS))
     for s in range(slices):
         part = rules if slices == 1 else rules.where(F.pmod(F.xxhash64("host", "path"), F.lit(slices)) == s)
         known = sorted((host_key(r["host"]), r["path"], r["host"] + r["path"], r["verdict"]) for r in part.collect())

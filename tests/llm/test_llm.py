@@ -203,7 +203,7 @@ def test_decontamination(spark):
     docs = [(1, "x " * 200 + item.upper() + " y" * 300), (2, "the sky over the town " * 40), (3, None), (4, ""), (5, item)]
     items = ship(spark).createDataFrame([(7, item), (8, None), (9, ""), (10, "quite another question entirely, asked of nobody")], "item_id long, text string")
     got = decontaminate.contaminated(frame(spark, docs), items).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (5, 7)} and all(r.answer_overlap == 1 for r in got)
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (5, 7)} and all(r.answer_overlap == 1 and r.leak == "both" for r in got)
 
 
 def test_language_model(spark):
