@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,6 @@ from .common import _BYTE_MUL, _TABLE, U64, Words, chunked, column, fresh_path,
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 WORDS_A_CALL = 512
-_FOLDED = "some words, m1xed and more"
 _PROBE = "It's the 3rd  \tÉté-été,\nnaïve... don't! x1y22  áb | ÀÇ"
 
 
@@ -53,10 +53,20 @@ class _Tokenizer:
         self.pattern = "|".join(re.escape(c) for c, _ in self.specials)
         words = [w.decode() for w in _PROBE.encode().split()]
         parts = [self.ids(w) for w in words]
-        self.folds = self.ids(_FOLDED.upper()) == self.ids(_FOLDED)
-        self.tails = all(self.ids(w + t) == self.ids(w) + self.ids(t) for w in ("word", "x1", "9", "Ab") for t in ".,")
+        self.folds = self._normal(string.ascii_uppercase) == self._normal(string.ascii_lowercase)
+        self.tails = all(self._alike(w + t, [w, t]) for w in ("word", "x1", "9", "Ab") for t in ".,")
         self.mark = next(((c, i) for c, i in self.specials if self.ids(c.join(words) + c) == [x for p in parts for x in (*p, i)]), None)
-        self.by_words = self.mark is not None and self.ids(_PROBE) == [i for p in parts for i in p]
+        self.by_words = self.mark is not None and self._alike(_PROBE, words)
+
+    def _normal(self, text: str) -> str:
+        return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+
+    def _pieces(self, text: str) -> list[str]:
+        """What the model is given, whether it knows it or not."""
+        return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self._normal(text))] if self.tok.pre_tokenizer else [text]
+
+    def _alike(self, text: str, parts: list[str]) -> bool:
+        return self.ids(text) == [i for p in parts for i in self.ids(p)] and self._pieces(text) == [x for p in parts for x in self._pieces(p)]
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
