@@ -68,14 +68,14 @@ def _words(text: pa.Array) -> Words:
     return Words(pc.utf8_lower(text.cast(pa.large_string()).fill_null("")), separators=_MARKS)
 
 
-def _runs(w: Words, doc: int, lo: int, hi: int) -> np.ndarray:
-    """Distinct hashes of runs of RUN words among words lo..hi-1 of a document."""
+def _runs(w: Words, doc: int, lo: int, hi: int) -> tuple[np.ndarray, int]:
+    """Distinct hashes of runs of RUN words among words lo..hi-1 of a document (of all, if these are fewer), and their size."""
     a, b = w.first[doc] + lo, w.first[doc] + hi
     n = min(RUN, b - a)
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0
     at = np.arange(a, b - n + 1)
-    return np.unique(run_hash(w.hash, at, at + n, _WORD_MUL))
+    return np.unique(run_hash(w.hash, at, at + n, _WORD_MUL)), int(n)
 
 
 def _answer_at(text: str, n: int) -> int:
@@ -213,10 +213,24 @@ class Index:
             best[pair] = max(best.get(pair, 0.0), float(score[k]))
 
 
-def _found(indexes: list, threshold: float, overlap: float):
-    def share(runs: np.ndarray, have: np.ndarray) -> float:
-        return float(np.isin(runs, have).mean()) if len(runs) else 0.0
+class _Runs:
+    """Runs of a document's words, of one size at a time: sorted hashes, made when asked for."""
+
+    def __init__(self, w: Words, doc: int):
+        self.w, self.lo, self.hi, self.of = w, int(w.first[doc]), int(w.first[doc + 1]), {}
+
+    def share(self, runs: np.ndarray, size: int) -> float:
+        """How much of ``runs`` (of ``size`` words) is here."""
+        if not len(runs) or self.hi - self.lo < size:
+            return 0.0
+        if size not in self.of:
+            at = np.arange(self.lo, self.hi - size + 1)
+            self.of[size] = np.sort(run_hash(self.w.hash, at, at + size, _WORD_MUL))
+        have = self.of[size]
+        return float((have[np.minimum(np.searchsorted(have, runs), len(have) - 1)] == runs).mean())
+
 
+def _found(indexes: list, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
             w, ids = _words(column(part, "text")), ids_of(part)
@@ -225,9 +239,9 @@ def _found(indexes: list, threshold: float, overlap: float):
                 index = shared.value
                 for (doc, item), score in index.retrieve(w, threshold).items():
                     if doc not in have:
-                        have[doc] = _all_runs(w, doc, int(w.first[doc + 1] - w.first[doc]))
-                    q, a = index.question[item], index.answer[item]
-                    qs, as_ = share(q, have[doc]), share(a, have[doc])
+                        have[doc] = _Runs(w, doc)
+                    (q, q_size), (a, a_size) = index.question[item], index.answer[item]
+                    qs, as_ = have[doc].share(q, q_size), have[doc].share(a, a_size)
                     whole = (qs * len(q) + as_ * len(a)) / max(1, len(q) + len(a))
                     leak = "both" if min(qs, as_) >= overlap else "question" if qs >= QUESTION_ALONE and index.question_words[item] >= LEAST_PART else "part" if whole >= overlap else None
                     if leak:
@@ -240,15 +254,6 @@ def _found(indexes: list, threshold: float, overlap: float):
     return run
 
 
-def _all_runs(w: Words, doc: int, n: int) -> np.ndarray:
-    """Sorted hashes of a document's runs of 1 to RUN words (parts of short items have shorter runs)."""
-    out = []
-    for size in range(1, min(RUN, n) + 1):
-        at = np.arange(w.first[doc], w.first[doc + 1] - size + 1)
-        out.append(run_hash(w.hash, at, at + size, _WORD_MUL))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms of items with their sections, for each slice; term null: number and words of all sections."""
     for part in chunked(batches):

@@ -20,9 +20,11 @@ Texts are coded in blocks of about BLOCK_TOKENS tokens with a local vocabulary.
 Blocks ask the shards of the vocabulary (by hash of the word) for counts, and
 then the shards of the trie (by hash of the context, of context and word for frequent contexts) for
 probabilities: each message is one row for a (block, shard).  A shard gathers
-the counts of all its blocks, builds its trie, answers and ends.  Contexts that take over 1/HOT of
-all tokens (so fewer than HOT of them) are spread over shards by the word too.
-The number of shards grows with the number of tokens.
+the counts of all its blocks, builds its trie, answers and ends.  Contexts of over
+HOT_TOKENS tokens, a fixed part of a shard, are spread over shards by the word too,
+so what a shard gets does not grow with the corpus, but for the entries of a single
+bigram, one for each document that has it.  The number of shards grows with the
+number of tokens.
 
 Defined results: a null or empty text is one end token; repeated rows are
 scored each; a null doc_id counts as 0; without training texts N and V are 0.
@@ -46,7 +48,7 @@ from .common import U64, Words, chunked, column, crc_mod, give_back, ids_of, kee
 FOLDS, HELD_OUT = 7, 2
 BLOCK_TOKENS = 1_800_000
 SHARD_TOKENS = 1_600_000
-HOT = 2000
+HOT_TOKENS = SHARD_TOKENS // 32
 MASS = 1000.0  # M
 QUERIES_AT_ONCE = 1 << 16
 END = U64(0x1234567890ABCDEF)
@@ -193,7 +195,7 @@ class Trie:
 
 # ---- blocks ---------------------------------------------------------------
 
-_BLOCK = "block long, doc_ids binary, held binary, first binary, codes binary, vocabulary binary, counts binary"
+_BLOCK = "block long, tokens long, doc_ids binary, held binary, first binary, codes binary, vocabulary binary, counts binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +212,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, codes = np.unique(hashes, return_inverse=True)
         learn = np.repeat(~fold, sizes)
         counts = np.bincount(codes[learn], minlength=len(vocabulary))
-        row = [[(task << 32) + serial]] + [[_pack(x)] for x in (ids, fold, np.concatenate([[0], np.cumsum(sizes)]), codes.astype(np.uint32), vocabulary, counts.astype(np.int64))]
+        row = [[(task << 32) + serial], [len(codes)]] + [[_pack(x)] for x in (ids, fold, np.concatenate([[0], np.cumsum(sizes)]), codes.astype(np.uint32), vocabulary, counts.astype(np.int64))]
         serial += 1
-        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(r, pa.binary()) for r in row[1:])], names=[c.split()[0] for c in _BLOCK.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), *(pa.array(r, pa.binary()) for r in row[2:])], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
     tokens = 0
     for part in chunked(batches):
@@ -332,7 +334,7 @@ def _own_scores(shards: int, tokens: int, known: int):
     return run
 
 
-def _ask_bigrams(shards: int, tokens: int):
+def _ask_bigrams(shards: int):
     """Cogroup of a block and its totals: messages to the trie's shards."""
 
     @_two_tables
@@ -354,7 +356,7 @@ def _ask_bigrams(shards: int, tokens: int):
             pair = key[new]
             u, w = pair >> 32, pair & 0xFFFFFFFF
             of = vocabulary[u]
-            hot = total[u] * HOT > tokens
+            hot = total[u] > HOT_TOKENS
             of = np.where(hot, mix64(of + vocabulary[w] * U64(3)), of)
             shard = _shard(of, shards)
             begin = np.flatnonzero(new)
@@ -451,7 +453,7 @@ def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     body = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc_mod(FOLDS) == HELD_OUT, F.lit(False)).alias("held"))
     blocks = keep(body.mapInArrow(_blocks, _BLOCK))
-    size = blocks.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 4
+    size = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if not size:
         return docs.sparkSession.createDataFrame([], _RESULT)
     shards = max(8, -(-size // SHARD_TOKENS))
@@ -460,8 +462,8 @@ def score(docs: DataFrame) -> DataFrame:
     row = given.where("block = -1").agg(F.sum("tokens"), F.sum("known")).first()
     tokens, known = int(row[0] or 0), int(row[1] or 0)
     replies = given.where("block >= 0").select("block", "shard", "totals")
-    both = blocks.drop("counts").groupBy("block").cogroup(replies.groupBy("block"))
-    messages = both.applyInArrow(_ask_bigrams(shards, tokens), _MESSAGE)
+    both = blocks.drop("counts", "tokens").groupBy("block").cogroup(replies.groupBy("block"))
+    messages = both.applyInArrow(_ask_bigrams(shards), _MESSAGE)
     parts = messages.groupBy("shard").applyInArrow(_score_shard(tokens, known), "block long, docs binary, scores binary")
     own = both.applyInArrow(_own_scores(shards, tokens, known), "block long, " + ", ".join(f"m{i} binary" for i in range(5)))
     return own.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_finish(tokens), _RESULT)
