@@ -214,34 +214,36 @@ class Index:
 
 
 class _Runs:
-    """Runs of a document's words, of one size at a time: sorted hashes, made when asked for."""
+    """Runs of words of a chunk's documents: hashed for a whole chunk at once, a size
+    at a time, and sorted for a document when it is asked for."""
 
-    def __init__(self, w: Words, doc: int):
-        self.w, self.lo, self.hi, self.of = w, int(w.first[doc]), int(w.first[doc + 1]), {}
+    def __init__(self, w: Words):
+        self.w, self.grams, self.of = w, {}, {}
 
-    def share(self, runs: np.ndarray, size: int) -> float:
-        """How much of ``runs`` (of ``size`` words) is here."""
-        if not len(runs) or self.hi - self.lo < size:
+    def share(self, doc: int, runs: np.ndarray, size: int) -> float:
+        """How much of ``runs`` (of ``size`` words) a document has."""
+        if not len(runs):
             return 0.0
-        if size not in self.of:
-            at = np.arange(self.lo, self.hi - size + 1)
-            self.of[size] = np.sort(run_hash(self.w.hash, at, at + size, _WORD_MUL))
-        have = self.of[size]
-        return float((have[np.minimum(np.searchsorted(have, runs), len(have) - 1)] == runs).mean())
+        if size not in self.grams:
+            self.grams[size] = self.w.grams(size)
+        if (doc, size) not in self.of:
+            at, value = self.grams[size]
+            lo, hi = np.searchsorted(at, self.w.first[doc : doc + 2])
+            self.of[doc, size] = np.sort(value[lo:hi])
+        have = self.of[doc, size]
+        return float((have[np.minimum(np.searchsorted(have, runs), len(have) - 1)] == runs).mean()) if len(have) else 0.0
 
 
 def _found(indexes: list, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
             w, ids = _words(column(part, "text")), ids_of(part)
-            rows, have = [], {}
+            rows, have = [], _Runs(w)
             for shared in indexes:
                 index = shared.value
                 for (doc, item), score in index.retrieve(w, threshold).items():
-                    if doc not in have:
-                        have[doc] = _Runs(w, doc)
                     (q, q_size), (a, a_size) = index.question[item], index.answer[item]
-                    qs, as_ = have[doc].share(q, q_size), have[doc].share(a, a_size)
+                    qs, as_ = have.share(doc, q, q_size), have.share(doc, a, a_size)
                     whole = (qs * len(q) + as_ * len(a)) / max(1, len(q) + len(a))
                     leak = "both" if min(qs, as_) >= overlap else "question" if qs >= QUESTION_ALONE and index.question_words[item] >= LEAST_PART else "part" if whole >= overlap else None
                     if leak:
