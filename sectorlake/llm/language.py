@@ -33,6 +33,7 @@ from .common import U64, chunked, column, crc_mod
 
 DIMS = 2048
 DOCS_A_LANGUAGE, FIT_DOCS = 1000, 20_000
+LANGUAGES_TO_SEND = 10_000  # counts of as many may go to every task
 HELD_OUT = 2
 FOLDS = 4
 MARGIN = 0.05
@@ -135,6 +136,7 @@ def train(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model | No
     if not languages:
         return None
     each = max(1, min(docs_a_language, FIT_DOCS // languages))
+    counts = F.broadcast(counts) if languages <= LANGUAGES_TO_SEND else counts
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = learn.join(counts, "lang").where(draw < each / F.col("n")).select("lang", "text").mapInArrow(_vectors, "lang string, x binary, has boolean").where("has").select("lang", "x").toArrow()
     if not rows.num_rows:
