@@ -2,8 +2,13 @@
 
 Each stage takes the documents that the stage before kept and returns
 documents (doc_id, text, lang, source, n_chars); the last returns packed pieces.
-Results of stages are written as Parquet and read again.  A null doc_id counts
-as 0, and a row goes for its own text, not for another row's of the same doc_id.
+Results of stages are written as Parquet and read again.
+
+Defined results of every stage: a null doc_id counts as 0 from then on; a row goes
+or stays for its own text, not for another row's of the same doc_id, and rows that
+are alike in both share their fate; null and empty texts go in the first stage,
+and any later one would keep them; texts of any length are handled whole; an empty
+table gives an empty one; columns other than the five are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language: no letter, or two languages alike."""
+    """Rejects documents without a recognisable language: no letter (null and empty
+    texts too), or two languages alike.  Without labelled texts to learn from, all go."""
     ship(spark)
     model, docs = language.train(docs), _rows(docs)
     found = language.identify(docs.withColumn("doc_id", F.col("row")), model)
@@ -38,7 +44,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the
+    smallest doc_id stays, with every row that repeats it in the group.  Texts without
+    words are in no group."""
     ship(spark)
     docs = _rows(docs)
     groups = jaccard_groups(docs.select(F.col("row").alias("doc_id"), "text"), 5, Fraction(4, 5))
@@ -49,7 +57,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has go; texts of which nothing is left go too."""
+    """Passages of 50 words or more that a document with a smaller doc_id has go; texts
+    of which nothing is left go too.  Texts that lose nothing stay byte for byte, others
+    are their words with one space between them."""
     ship(spark)
     rest = dedup_substrings(docs, keep_text=True, carry=("lang", "source"))
     rest = rest.where("n_removed = 0 or n_removed < n_words")
@@ -57,7 +67,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty items match none."""
     ship(spark)
     docs = _rows(docs)
     found = decontaminate.contaminated(docs.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -65,7 +75,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids by best fit."""
+    """Token sequences of at most 4096 ids by best fit; rows that repeat a doc_id are packed each."""
     ship(spark)
     return packing.pack(docs)
 
@@ -78,7 +88,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Tokenization and fitted models cannot be said in SQL; tests compare with a plain version.
+#: Tokenization and fitted models cannot be said in SQL; tests/llm compares every stage with a plain version.
 ORACLE_SQL = None
 
 
