@@ -471,3 +471,24 @@ def test_hostile_models(spark):
     near = jaccard_groups(table(spark, rows)).collect()
     assert sorted((n.doc_id, n.component_id) for n in near) == [(0, 0), (0, 0), (0, 0), (4, 0), (4, 0), (4, 4), (9, 9)]
     assert removed_by_hand([(1, "x")]) == {1: 0}
+
+
+def test_large_stars(spark, monkeypatch):
+    """A star's members in many runs, each led by its centre."""
+    from sectorlake.llm import jaccard
+    from test_llm import corpus
+
+    monkeypatch.setattr(jaccard, "MEMBERS_A_RUN", 3)
+    rows = corpus(11, 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, rows), 5, Fraction(4, 5)).collect()}
+    assert got == components(rows, 5, Fraction(4, 5))
+
+
+def test_hot_contexts(spark, monkeypatch):
+    """Contexts that are spread over shards by the word too score as others do."""
+    r = random.Random(12)
+    rows = [(i, " ".join(some_words(r, 80, 12))) for i in range(40)]
+    plain = {s.doc_id: s.score for s in ngram_lm.score(table(spark, rows)).collect()}
+    monkeypatch.setattr(ngram_lm, "HOT_TOKENS", 20)
+    hot = {s.doc_id: s.score for s in ngram_lm.score(table(spark, rows)).collect()}
+    assert hot.keys() == plain.keys() and all(hot[i] == pytest.approx(plain[i], rel=1e-3) for i in plain)
