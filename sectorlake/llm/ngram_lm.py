@@ -19,12 +19,14 @@ Scale.  Nothing of the size of the corpus or its vocabulary is in one place.
 Texts are coded in blocks of about BLOCK_TOKENS tokens with a local vocabulary.
 Blocks ask the shards of the vocabulary (by hash of the word) for counts, and
 then the shards of the trie (by hash of the context, of context and word for frequent contexts) for
-probabilities: each message is one row for a (block, shard).  A shard gathers
-the counts of all its blocks, builds its trie, answers and ends.  Contexts of over
-HOT_TOKENS tokens, a fixed part of a shard, are spread over shards by the word too,
-so what a shard gets does not grow with the corpus, but for the entries of a single
-bigram, one for each document that has it.  The number of shards grows with the
-number of tokens.
+probabilities: each message is one row for a (block, shard), with one entry for
+each distinct bigram of the block.  A shard gathers the counts of all its blocks,
+builds its trie, answers with the bigrams' levels and ends; the blocks sum them
+over their documents.  Contexts of over HOT_TOKENS tokens, a fixed part of a
+shard, are spread over shards by the word too, so what a shard gets does not
+grow with the corpus, but for the entries of a single bigram, one for each
+block that has it.  The number of shards, and of the tasks that take one
+each, grows with the number of tokens.
 
 Defined results: a null or empty text is one end token; repeated rows are
 scored each; a null doc_id counts as 0; without training texts N and V are 0.
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +54,8 @@ SHARD_TOKENS = 1_600_000
 HOT_TOKENS = SHARD_TOKENS // 32
 MASS = 1000.0  # M
 QUERIES_AT_ONCE = 1 << 16
+UNSEEN = 65535  # the level of a bigram that is not in the trie
+MOST_TASKS = 50_000  # beyond, a task takes several shards or blocks, one after the other
 END = U64(0x1234567890ABCDEF)
 
 
@@ -141,7 +146,7 @@ class Trie:
         base = self._bases(context, word)
         self.successors = EliasFano(base + word + 1)
         self.least = float(logp.min()) if len(logp) else 0.0
-        self.step = (float(logp.max()) - self.least) / 65535 if len(logp) else 0.0
+        self.step = (float(logp.max()) - self.least) / (UNSEEN - 1) if len(logp) else 0.0
         self.levels = np.round((logp - self.least) / self.step).astype(np.uint16) if self.step else np.zeros(len(logp), np.uint16)
 
     @staticmethod
@@ -177,12 +182,11 @@ class Trie:
         return view
 
     def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, log10 probability) of bigrams by the ranks of their words (-1: not of the shard)."""
+        """(found, level of the log10 probability) of bigrams by the ranks of their words (-1: not of the shard)."""
         n = self.successors.n
         known = (context >= 0) & (word >= 0)
-        out = np.zeros(len(context))
         if not n:
-            return np.zeros(len(context), dtype=bool), out
+            return np.zeros(len(context), dtype=bool), np.zeros(len(context), np.uint16)
         c = np.maximum(context, 0)
         lo, hi = self.pointers.access(c), self.pointers.access(c + 1)
         known &= lo < hi
@@ -190,7 +194,7 @@ class Trie:
         want = base + np.maximum(word, 0) + 1
         at = np.minimum(self.successors.successor(want), n - 1)
         known &= (at >= lo) & (at < hi) & (self.successors.access(at) == want)
-        return known, self.least + self.levels[at] * self.step
+        return known, self.levels[at]
 
 
 # ---- blocks ---------------------------------------------------------------
@@ -316,130 +320,122 @@ def _gather(parts: pa.Table, vocabulary: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def _own_scores(shards: int, tokens: int, known: int):
-    """Cogroup of a block and its totals: what needs unigrams alone."""
-
-    @_two_tables
-    def run(block: pa.Table, parts: pa.Table) -> pa.Table:
-        rows = []
-        for i in range(block.num_rows):
-            ids, fold, first, codes, vocabulary = _one(block, i, doc_ids=np.int64, held=bool, first=np.int64, codes=np.uint32, vocabulary=np.uint64)
-            total = _gather(parts, vocabulary, shards)
-            cum = np.concatenate([[0], np.cumsum(np.log10((total + 1) / (tokens + known + 1))[codes])])
-            n_known = np.concatenate([[0], np.cumsum(total[codes] > 0)])
-            rows.append((block.column("block")[i].as_py(), *(_pack(x) for x in (ids, fold, np.diff(first), np.diff(n_known[first]), np.diff(cum[first])))))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.table({"block": pa.array(cols[0], pa.int64()), **{f"m{i}": pa.array(c, pa.binary()) for i, c in enumerate(cols[1:])}})
-
-    return run
+class _Pairs:
+    """A block with its words' totals, and its distinct bigrams in the order of the
+    trie's shards: the same for the questions and for their answers."""
+
+    def __init__(self, block: pa.Table, i: int, parts: pa.Table, shards: int):
+        self.ids, self.fold, self.first, self.codes, self.vocabulary = _one(block, i, doc_ids=np.int64, held=bool, first=np.int64, codes=np.uint32, vocabulary=np.uint64)
+        self.number = block.column("block")[i].as_py()
+        self.total = _gather(parts, self.vocabulary, shards)
+        before = np.empty(len(self.codes), np.int64)
+        before[1:] = self.codes[:-1]
+        before[self.first[:-1]] = np.searchsorted(self.vocabulary, END)
+        pair, at = np.unique((before << 32) | self.codes.astype(np.int64), return_inverse=True)
+        del before
+        u, w = pair >> 32, pair & 0xFFFFFFFF
+        of = self.vocabulary[u]
+        of = np.where(self.total[u] > HOT_TOKENS, mix64(of + self.vocabulary[w] * U64(3)), of)
+        shard = _shard(of, shards)
+        by = np.argsort(shard, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.at = place[at]  # of each token, its bigram
+        self.u, self.w = u[by], w[by]
+        self.cuts = np.searchsorted(shard[by], np.arange(shards + 1))
 
 
 def _ask_bigrams(shards: int):
-    """Cogroup of a block and its totals: messages to the trie's shards."""
+    """Cogroup of a block and its totals: messages to the trie's shards, an entry
+    for each distinct bigram of the block with its occurrences in training texts."""
 
     @_two_tables
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         rows = []
         for i in range(block.num_rows):
-            ids, fold, first, codes, vocabulary = _one(block, i, doc_ids=np.int64, held=bool, first=np.int64, codes=np.uint32, vocabulary=np.uint64)
-            total = _gather(parts, vocabulary, shards)
-            number = block.column("block")[i].as_py()
-            before = np.empty(len(codes), np.int64)
-            before[1:] = codes[:-1]
-            before[first[:-1]] = np.searchsorted(vocabulary, END)
-            doc = np.repeat(np.arange(len(ids)), np.diff(first))
-            # one entry for each distinct (bigram, document), with how often it occurs
-            key = (before << 32) | codes.astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            new = np.r_[True, key[1:] != key[:-1]]
-            pair = key[new]
-            u, w = pair >> 32, pair & 0xFFFFFFFF
-            of = vocabulary[u]
-            hot = total[u] > HOT_TOKENS
-            of = np.where(hot, mix64(of + vocabulary[w] * U64(3)), of)
-            shard = _shard(of, shards)
-            begin = np.flatnonzero(new)
-            size = np.diff(np.r_[begin, len(key)])
-            by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-            learn = ~fold
-            trained = np.add.reduceat(learn[doc].astype(np.int64), begin) if len(begin) else size
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                p = by[cuts[s] : cuts[s + 1]]
-                words, local = np.unique(np.concatenate([u[p], w[p]]), return_inverse=True)
-                k, n = size[p], len(p)
-                places = np.repeat(begin[p] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-                local = local.astype(np.uint32)
-                rows.append((s, number, *map(_pack, (_short(vocabulary[words]), total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], *(x.astype(np.uint32) for x in (k, doc[places], trained[p]))))))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+            b = _Pairs(block, i, parts, shards)
+            learn = np.repeat(~b.fold, np.diff(b.first))
+            trained = np.bincount(b.at[learn], minlength=len(b.u)).astype(np.uint32)
+            for s in np.flatnonzero(np.diff(b.cuts)).tolist():
+                p = slice(b.cuts[s], b.cuts[s + 1])
+                words, local = np.unique(np.concatenate([b.u[p], b.w[p]]), return_inverse=True)
+                local, n = local.astype(np.uint32), b.cuts[s + 1] - b.cuts[s]
+                rows.append((s, b.number, *map(_pack, (_short(b.vocabulary[words]), b.total[words], np.diff(local[:n], prepend=np.uint32(0)), local[n:], trained[p]))))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         return pa.table({"shard": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), **{f"m{i}": pa.array(c, pa.binary()) for i, c in enumerate(cols[2:])}})
 
     return run
 
 
-_MESSAGE = "shard int, block long, " + ", ".join(f"m{i} binary" for i in range(7))
+_MESSAGE = "shard int, block long, " + ", ".join(f"m{i} binary" for i in range(5))
+_ANSWER = "block long, shard int, levels binary, least double, step double"
 
 
-def _score_shard(tokens: int, known: int):
-    """All messages of a trie shard: count, build, map, answer with scores of documents."""
+def _answer_shard(tokens: int, known: int):
+    """All messages of a trie shard: count, build, map, answer with each bigram's level."""
 
     @_one_table
     def run(table: pa.Table) -> pa.Table:
-        kinds = {"m0": np.uint64, "m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32, "m5": np.uint32, "m6": np.uint32}
+        kinds = {"m0": np.uint64, "m1": np.int64, "m2": np.uint32, "m3": np.uint32, "m4": np.uint32}
         asked = [_one(table, i, **kinds) for i in range(table.num_rows)]
-        for a in asked:
-            a[2] = np.cumsum(a[2], dtype=np.int64)
         words, first = np.unique(np.concatenate([a[0] for a in asked]), return_index=True)
         total = np.concatenate([a[1] for a in asked])[first]
         keys = []
         for a in asked:
             rank = np.searchsorted(words, a[0])
-            keys.append((rank[a[2]] << 32) | rank[a[3]])
+            keys.append((rank[np.cumsum(a[2], dtype=np.uint32)] << 32) | rank[a[3]])
             a[:4] = [None] * 4
-        ends = np.cumsum([len(k) for k in keys])
+        ends = np.cumsum([len(k) for k in keys])[:-1]
         pair, at = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         at = at.astype(np.uint32)
-        count = np.bincount(at, np.concatenate([a[6] for a in asked]))
+        count = np.bincount(at, np.concatenate([a[4] for a in asked]))
+        del asked
         unigram = (total + 1) / (tokens + known + 1)
         seen = count > 0
         context, word = pair[seen] >> 32, pair[seen] & 0xFFFFFFFF
-        logp = np.log10((count[seen] + MASS * unigram[word]) / (total[context] + MASS))
-        trie = Trie(words, context, word, logp)
-        del context, word, logp, seen, count
-        blocks, docs, scores = [], [], []
-        lp = np.empty(len(pair))
+        trie = Trie(words, context, word, np.log10((count[seen] + MASS * unigram[word]) / (total[context] + MASS)))
+        del context, word, seen, count
+        least, step = trie.least, trie.step
+        levels = np.empty(len(pair), np.uint16)
         with tempfile.TemporaryDirectory() as folder:
             view = trie.mapped(folder)
             for a in range(0, len(pair), QUERIES_AT_ONCE):
-                c, w = pair[a : a + QUERIES_AT_ONCE] >> 32, pair[a : a + QUERIES_AT_ONCE] & 0xFFFFFFFF
-                found, value = trie.query(c, w)
-                lp[a : a + QUERIES_AT_ONCE] = np.where(found, value, np.log10(MASS * unigram[w] / (total[c] + MASS)))
+                part = pair[a : a + QUERIES_AT_ONCE]
+                found, level = trie.query(part >> 32, part & 0xFFFFFFFF)
+                levels[a : a + QUERIES_AT_ONCE] = np.where(found, level, UNSEEN)
             del trie
             del view
-        for i, a in enumerate(asked):
-            mine = lp[at[ends[i] - len(a[4]) : ends[i]]]
-            each = np.bincount(a[5], np.repeat(mine, a[4]))
-            some = np.flatnonzero(np.bincount(a[5]))
-            blocks.append(table.column("block")[i].as_py())
-            docs.append(_pack(some.astype(np.uint32)))
-            scores.append(_pack(each[some]))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "docs": pa.array(docs, pa.binary()), "scores": pa.array(scores, pa.binary())})
+        n = table.num_rows
+        return pa.table(
+            {"block": table.column("block"), "shard": table.column("shard"), "levels": pa.array([_pack(levels[x]) for x in np.split(at, ends)], pa.binary()), "least": pa.array([least] * n), "step": pa.array([step] * n)}
+        )
 
     return run
 
 
-def _finish(tokens: int):
-    def run(own: pa.Table, parts: pa.Table) -> pa.Table:
+def _finish(shards: int, tokens: int, known: int):
+    """Cogroup of a block, its totals and its bigrams' levels: the documents' scores."""
+
+    @_two_tables
+    def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         out = []
-        for i in range(own.num_rows):
-            ids, fold, n, k, base = _one(own, i, m0=np.int64, m1=bool, m2=np.int64, m3=np.int64, m4=np.float64)
-            score = np.zeros(len(ids))
-            for j in range(parts.num_rows):
-                docs, values = _one(parts, j, docs=np.uint32, scores=np.float64)
-                score[docs] += values
-            out.append(pa.table({"doc_id": ids, "held_out": fold, "n_tokens": n, "n_known": k, "train_tokens": np.full(len(ids), tokens), "base_score": base, "score": score}))
+        answers = parts.filter(pc.is_valid(parts.column("levels")))
+        parts = parts.filter(pc.is_valid(parts.column("totals")))
+        for i in range(block.num_rows):
+            b = _Pairs(block, i, parts, shards)
+            unigram = (b.total + 1) / (tokens + known + 1)
+            value = np.log10(MASS * unigram[b.w] / (b.total[b.u] + MASS))
+            for j in range(answers.num_rows):
+                s, least, step = (answers.column(c)[j].as_py() for c in ("shard", "least", "step"))
+                (levels,) = _one(answers, j, levels=np.uint16)
+                mine = value[b.cuts[s] : b.cuts[s + 1]]
+                mine[:] = np.where(levels == UNSEEN, mine, least + levels * step)
+            def sums(each: np.ndarray) -> np.ndarray:
+                return np.add.reduceat(each, b.first[:-1])  # noqa: B023 (every text has its end)
+            out.append(
+                pa.table({"doc_id": b.ids, "held_out": b.fold, "n_tokens": np.diff(b.first), "n_known": sums((b.total[b.codes] > 0).astype(np.int64)), "train_tokens": np.full(len(b.ids), tokens), "base_score": sums(np.log10(unigram)[b.codes]), "score": sums(value[b.at])})
+            )
         return pa.concat_tables(out) if out else pa.table({c.split()[0]: pa.array([], t) for c, t in zip(_RESULT.split(", "), _TYPES, strict=True)})
 
     return run
@@ -449,21 +445,27 @@ _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 _TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
+def _by_shard(messages: DataFrame, shards: int) -> DataFrame:
+    """A task for each shard."""
+    return messages.repartitionById(shards, F.col("shard")) if shards <= MOST_TASKS else messages.repartition(MOST_TASKS, "shard")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     body = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(crc_mod(FOLDS) == HELD_OUT, F.lit(False)).alias("held"))
     blocks = keep(body.mapInArrow(_blocks, _BLOCK))
-    size = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    size, n_blocks = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     if not size:
         return docs.sparkSession.createDataFrame([], _RESULT)
     shards = max(8, -(-size // SHARD_TOKENS))
+    by_block = min(max(8, n_blocks), MOST_TASKS)
     asked = blocks.select("block", "vocabulary", "counts").mapInArrow(_ask_counts(shards), "shard int, block long, words binary, counts binary")
-    given = keep(asked.groupBy("shard").applyInArrow(_give_counts, "block long, shard int, totals binary, tokens long, known long"))
+    given = keep(_by_shard(asked, shards).groupBy("shard").applyInArrow(_give_counts, "block long, shard int, totals binary, tokens long, known long"))
     row = given.where("block = -1").agg(F.sum("tokens"), F.sum("known")).first()
     tokens, known = int(row[0] or 0), int(row[1] or 0)
-    replies = given.where("block >= 0").select("block", "shard", "totals")
-    both = blocks.drop("counts", "tokens").groupBy("block").cogroup(replies.groupBy("block"))
-    messages = both.applyInArrow(_ask_bigrams(shards), _MESSAGE)
-    parts = messages.groupBy("shard").applyInArrow(_score_shard(tokens, known), "block long, docs binary, scores binary")
-    own = both.applyInArrow(_own_scores(shards, tokens, known), "block long, " + ", ".join(f"m{i} binary" for i in range(5)))
-    return own.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(_finish(tokens), _RESULT)
+    replies = given.where("block >= 0").select("block", "shard", "totals").repartition(by_block, "block")
+    bodies = blocks.drop("counts", "tokens").repartition(by_block, "block").groupBy("block")
+    messages = bodies.cogroup(replies.groupBy("block")).applyInArrow(_ask_bigrams(shards), _MESSAGE)
+    levels = _by_shard(messages, shards).groupBy("shard").applyInArrow(_answer_shard(tokens, known), _ANSWER)
+    answers = given.where("block >= 0").select("block", "shard", "totals").unionByName(levels, allowMissingColumns=True)
+    return bodies.cogroup(answers.repartition(by_block, "block").groupBy("block")).applyInArrow(_finish(shards, tokens, known), _RESULT)
