@@ -324,7 +324,7 @@ class _Pairs:
     """A block with its words' totals, and its distinct bigrams in the order of the
     trie's shards: the same for the questions and for their answers."""
 
-    def __init__(self, block: pa.Table, i: int, parts: pa.Table, shards: int):
+    def __init__(self, block: pa.Table, i: int, parts: pa.Table, shards: int, hot: int):
         self.ids, self.fold, self.first, self.codes, self.vocabulary = _one(block, i, doc_ids=np.int64, held=bool, first=np.int64, codes=np.uint32, vocabulary=np.uint64)
         self.number = block.column("block")[i].as_py()
         self.total = _gather(parts, self.vocabulary, shards)
@@ -335,7 +335,7 @@ class _Pairs:
         del before
         u, w = pair >> 32, pair & 0xFFFFFFFF
         of = self.vocabulary[u]
-        of = np.where(self.total[u] > HOT_TOKENS, mix64(of + self.vocabulary[w] * U64(3)), of)
+        of = np.where(self.total[u] > hot, mix64(of + self.vocabulary[w] * U64(3)), of)
         shard = _shard(of, shards)
         by = np.argsort(shard, kind="stable")
         place = np.empty(len(by), np.int64)
@@ -353,7 +353,7 @@ def _ask_bigrams(shards: int):
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         rows = []
         for i in range(block.num_rows):
-            b = _Pairs(block, i, parts, shards)
+            b = _Pairs(block, i, parts, shards, HOT_TOKENS)
             learn = np.repeat(~b.fold, np.diff(b.first))
             trained = np.bincount(b.at[learn], minlength=len(b.u)).astype(np.uint32)
             for s in np.flatnonzero(np.diff(b.cuts)).tolist():
@@ -423,7 +423,7 @@ def _finish(shards: int, tokens: int, known: int):
         answers = parts.filter(pc.is_valid(parts.column("levels")))
         parts = parts.filter(pc.is_valid(parts.column("totals")))
         for i in range(block.num_rows):
-            b = _Pairs(block, i, parts, shards)
+            b = _Pairs(block, i, parts, shards, HOT_TOKENS)
             unigram = (b.total + 1) / (tokens + known + 1)
             value = np.log10(MASS * unigram[b.w] / (b.total[b.u] + MASS))
             for j in range(answers.num_rows):
