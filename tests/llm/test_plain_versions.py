@@ -492,3 +492,13 @@ def test_hot_contexts(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "HOT_TOKENS", 20)
     hot = {s.doc_id: s.score for s in ngram_lm.score(table(spark, rows)).collect()}
     assert hot.keys() == plain.keys() and all(hot[i] == pytest.approx(plain[i], rel=1e-3) for i in plain)
+
+
+def test_many_shards(spark, monkeypatch):
+    """Several shards for a task score as a task for each."""
+    r = random.Random(13)
+    rows = [(i, " ".join(some_words(r, 60, 30))) for i in range(30)]
+    plain = {s.doc_id: s.score for s in ngram_lm.score(table(spark, rows)).collect()}
+    monkeypatch.setattr(ngram_lm, "MOST_TASKS", 3)
+    dealt = {s.doc_id: s.score for s in ngram_lm.score(table(spark, rows)).collect()}
+    assert dealt.keys() == plain.keys() and all(dealt[i] == pytest.approx(plain[i], rel=1e-6) for i in plain)
